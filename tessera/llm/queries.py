@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, packing, quality_rules
+from . import byte_bpe, chat_format, packing, quality_rules, toxicity
 from .shared import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,12 +37,16 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged_documents(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality_rules.MEASURES)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op5_chat_format, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op5_chat_format, op8_toxicity, op9_quality_rules)}
 
 _CHAT_SQL = r"""
 WITH t AS (
