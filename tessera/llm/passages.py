@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, slices, text_bytes, written
+from .shared import discard, slices, small, text_bytes, written
 from .words import mix, word_hashes
 
 SHINGLE = 5
@@ -130,7 +130,7 @@ def _windows(batches):
         doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         tokens, rows, firsts, _, _ = tokens_of(*text_bytes(batch.column("text")))
         for k in range(HASHES):
-            values = mix(tokens ^ np.uint64(0xA5A5A5A5 * (2 * k + 1)))
+            values = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF))
             c, left, right = compact_windows(values, rows, firsts)
             base = firsts[rows[c]]
             kept.append({"key": values[c].view(np.int64), "k": np.full(len(c), k, np.int64), "doc": doc_ids[rows[c]], "c": c - base, "l": left - base, "r": right - base})
@@ -300,7 +300,7 @@ def near_duplicate_passages(docs: DataFrame) -> DataFrame:
 def without_passages(docs: DataFrame) -> DataFrame:
     """docs with the passages cut from all documents but the earliest one, and n_chars (if there) of what is left. Rows and columns stay."""
     found = near_duplicate_passages(docs)
-    spans = found.groupBy(F.col("doc_id").alias("_passage_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    spans, _ = written(found.groupBy(F.col("doc_id").alias("_passage_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")), "passage-spans")
     # what is left between the ends so far and each span's start
     walked = F.aggregate(
         "_spans",
@@ -310,7 +310,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
             F.when(s["start"] > acc["at"], F.concat(acc["kept"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))).otherwise(acc["kept"]).alias("kept"),
         ),
     )
-    joined = docs.join(spans, docs["doc_id"].cast("bigint") == spans["_passage_doc"], "left").withColumn("_walked", F.when(F.col("_spans").isNotNull(), walked))
+    joined = docs.join(small(spans, 100_000), docs["doc_id"].cast("bigint") == spans["_passage_doc"], "left").withColumn("_walked", F.when(F.col("_spans").isNotNull(), walked))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.col("_walked.kept"), F.substr(F.col("text"), (F.col("_walked.at") + 1).cast("int"))))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, fingerprints, packing, passages, quality_rules, simhash, toxicity
+from . import byte_bpe, chat_format, fingerprints, kneser_ney, licenses, packing, passages, quality_rules, simhash, toxicity
 from .shared import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,10 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -58,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op4_fingerprints, op5_chat_format, op6_passages, op8_toxicity, op9_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_kneser_ney, op4_fingerprints, op5_chat_format, op6_passages, op7_licenses, op8_toxicity, op9_quality_rules, op10_simhash)}
 
 _CHAT_SQL = r"""
 WITH t AS (

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,11 @@ def written(df: DataFrame, name: str, *keys: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df to be broadcast if it has at most ``most`` rows, else as it is: the join then shuffles. Hand over a written table of narrow rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = _file_system(spark, path)
