@@ -169,7 +169,7 @@ def safe_token(value: Column) -> Column:
 
 def attempts(value: Column) -> Column:
     """a whole number of at least 0; 0 for anything else."""
-    return F.greatest(F.lit(0), F.coalesce(F.try_cast(value, "int") if hasattr(F, "try_cast") else value.try_cast("int"), F.lit(0)))
+    return F.greatest(F.lit(0), F.coalesce(value.try_cast("int"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -179,13 +179,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def trimmed(text: Column, most: int) -> Column:
     """cut at the last word's end within most characters."""
-    cut = F.regexp_replace(F.substring(text, 1, most + 1), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.substring(text, 1, most + 1), r"\s+\S*\z", "")
     return F.when(F.length(text) <= most, text).when(F.length(cut) > most, F.substring(text, 1, most)).otherwise(cut)
 
 
 def has_offset(value: Column) -> Column:
     """the text of a time names its offset from UTC."""
-    return F.rlike(F.coalesce(value, F.lit("")), F.lit(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"))
+    return F.rlike(F.coalesce(value, F.lit("")), F.lit(r"(?:[Zz]|[+-]\d{2}:?\d{2})\z"))
 
 
 def age_verdict(when: Column, now: Column) -> Column:

@@ -21,7 +21,7 @@ def text_csv(spark: SparkSession, path: str, columns: list[str], strict: bool =
     reader = spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "").option("nullValue", "\u0000").option("multiLine", False)
     if strict:
         reader = reader.option("mode", "FAILFAST").option("enforceSchema", False)
-    return reader.schema(schema).csv(path)
+    return reader.schema(schema).csv(path).fillna("")
 
 
 def ordered_union(*sources: DataFrame) -> DataFrame:
