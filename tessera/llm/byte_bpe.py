@@ -119,7 +119,7 @@ def _anchor_after(text: str) -> int:
 
 def _space_like(char: str) -> bool:
     """Characters on which libraries disagree whether they are white space are no anchors' ends."""
-    return char in "\x1c\x1d\x1e\x1f\x85᠎​﻿"
+    return char in "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
 
 
 @lru_cache(maxsize=2)
