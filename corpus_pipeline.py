@@ -18,7 +18,7 @@ from tessera.llm.shared import read_table, small, written
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without those whose doc_id is in rejected.doc_id. The texts are shuffled only if there are too many of them to broadcast."""
     ids, _ = written(rejected.select(F.col("doc_id").alias("_rejected_id")).where("_rejected_id is not null").distinct(), "rejected")
-    return docs.join(small(ids), docs["doc_id"].cast("bigint") == F.col("_rejected_id"), "left_anti")
+    return docs.join(small(ids), docs["doc_id"].cast("bigint") == ids["_rejected_id"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated, _ = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated_id")), "repeated")
     if repeated.isEmpty():
         return kept
-    again = docs["doc_id"].cast("bigint") == F.col("_repeated_id")
+    again = docs["doc_id"].cast("bigint") == repeated["_repeated_id"]
     once = kept.join(small(repeated), again, "left_semi").dropDuplicates(["doc_id"])
     return kept.join(small(repeated), again, "left_anti").unionByName(once)
 

@@ -302,17 +302,20 @@ def without_passages(docs: DataFrame) -> DataFrame:
     found = near_duplicate_passages(docs)
     spans, _ = written(found.groupBy(F.col("doc_id").alias("_passage_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")), "passage-spans")
     # what is left between the ends so far and each span's start
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # its columns may have any names
+    text = F.col("_row.text")
     walked = F.aggregate(
         "_spans",
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("kept")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] > acc["at"], F.concat(acc["kept"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))).otherwise(acc["kept"]).alias("kept"),
+            F.when(s["start"] > acc["at"], F.concat(acc["kept"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))).otherwise(acc["kept"]).alias("kept"),
         ),
     )
-    joined = docs.join(small(spans, 100_000), docs["doc_id"].cast("bigint") == spans["_passage_doc"], "left").withColumn("_walked", F.when(F.col("_spans").isNotNull(), walked))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.col("_walked.kept"), F.substr(F.col("text"), (F.col("_walked.at") + 1).cast("int"))))
-    out = joined.withColumn("text", text)
+    joined = row.join(small(spans, 100_000), F.col("_row.doc_id").cast("bigint") == F.col("_passage_doc"), "left")
+    left = joined.withColumn("_walked", F.when(F.col("_spans").isNotNull(), walked))
+    new = {"text": F.when(F.col("_spans").isNull(), text).otherwise(F.concat(F.col("_walked.kept"), F.substr(text, (F.col("_walked.at") + 1).cast("int"))))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_spans").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast("bigint"))
+    left = left.withColumn("_text", new["text"])
+    return left.select(*[(F.col("_text") if c == "text" else new.get(c, F.col(f"_row.`{c}`"))).alias(c) for c in docs.columns])
