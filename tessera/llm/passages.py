@@ -100,7 +100,7 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 def _linked(key, w, owner_key=None, owner=None):
     """Links of sorted windows (by key, doc, c) to the first of their key, which may be carried over. Returns links and the mask of the first document's windows."""
-    first = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]])
     run = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
     heads = {n: w[n][starts] for n in _WINDOW}
