@@ -177,10 +177,14 @@ def _candidates(batches):
     pair, open_groups = None, []
     done: list[tuple] = []
 
-    def close():
-        for g in open_groups:
-            if len(g["ks"]) >= NEEDED:
+    def finish(groups):
+        """One token that both texts have can be the minimum of several orders, so NEEDED different tokens must take part as well."""
+        for g in groups:
+            if len(g["ks"]) >= NEEDED and len(g["cs"]) >= NEEDED:
                 done.append((*pair, *(g[x] for x in ("lo", "hi", "o_lo", "o_hi"))))
+
+    def close():
+        finish(open_groups)
         open_groups.clear()
 
     for batch in batches:
@@ -194,14 +198,14 @@ def _candidates(batches):
                 if abs(g["shift"] - shift) <= SHIFT and lo <= g["hi"] + TOKENS:
                     g["lo"], g["hi"], g["o_lo"], g["o_hi"], g["shift"] = min(g["lo"], lo), max(g["hi"], hi), min(g["o_lo"], lo + shift), max(g["o_hi"], hi + shift), shift
                     g["ks"].add(k)
+                    g["cs"].add(c)
                     break
             else:
-                open_groups.append({"lo": lo, "hi": hi, "o_lo": lo + shift, "o_hi": hi + shift, "shift": shift, "ks": {k}})
+                open_groups.append({"lo": lo, "hi": hi, "o_lo": lo + shift, "o_hi": hi + shift, "shift": shift, "ks": {k}, "cs": {c}})
                 if len(open_groups) > 64:  # those that nothing to come can reach, as c never falls and a window is at most as long as its text
-                    for g in [g for g in open_groups if g["hi"] + TOKENS < left]:
-                        if len(g["ks"]) >= NEEDED:
-                            done.append((*pair, *(g[x] for x in ("lo", "hi", "o_lo", "o_hi"))))
-                        open_groups.remove(g)
+                    over = [g for g in open_groups if g["hi"] + TOKENS < left]
+                    finish(over)
+                    open_groups = [g for g in open_groups if g["hi"] + TOKENS >= left]
         if done:
             yield _pairs(done)
             done = []
@@ -288,13 +292,15 @@ def near_duplicate_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     links, links_path = written(window_links(docs), "passage-links")
-    pairs, _ = written(candidates(links), "passage-pairs")
+    pairs, pairs_path = written(candidates(links), "passage-pairs")
     discard(spark, links_path)
     wanted = pairs.select("doc", "lo", "hi").union(pairs.select("o_doc", "o_lo", "o_hi")).distinct().groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    regions, _ = written(docs.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "los", "his").mapInArrow(_regions, "doc bigint, lo bigint, hi bigint, tokens binary, starts binary, ends binary"), "passage-regions")
+    regions, regions_path = written(docs.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "los", "his").mapInArrow(_regions, "doc bigint, lo bigint, hi bigint, tokens binary, starts binary, ends binary"), "passage-regions")
     other = regions.select(F.col("doc").alias("o_doc"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("tokens").alias("o_tokens"))
     both = pairs.join(regions, ["doc", "lo", "hi"]).join(other, ["o_doc", "o_lo", "o_hi"])
-    return both.select("doc", "o_doc", "tokens", "starts", "ends", "o_tokens").mapInArrow(_verified, "doc_id bigint, other_doc_id bigint, start bigint, end bigint, n_words bigint, similarity double").distinct()
+    found, _ = written(both.select("doc", "o_doc", "tokens", "starts", "ends", "o_tokens").mapInArrow(_verified, "doc_id bigint, other_doc_id bigint, start bigint, end bigint, n_words bigint, similarity double").distinct(), "passages")
+    discard(spark, pairs_path, regions_path)
+    return found
 
 
 def without_passages(docs: DataFrame) -> DataFrame:

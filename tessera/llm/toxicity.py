@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, text_bytes, written
+from .shared import discard, slices, text_bytes, written
 from .words import LETTERS, mix, word_hashes
 
 FIT_ROWS = 65_536
 VOCABULARY = 4096
 LEAST_Z = 5.0
 LEAST_DOCS = 5
+LEAST_RATIO = 3.0
 GRAM = 5
 OPENINGS = (6, 7, 8)
 PER_CLASS = 1024
@@ -172,7 +173,8 @@ def vocabulary(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, most: int =
     n1, n0 = max(int(toxic.sum()), 1), max(int(len(toxic) - toxic.sum()), 1)
     rate = (F.col("a") + F.col("b")) / (n1 + n0)
     z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n1 + 1 / n0))
-    found = counts.where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).select("term").collect()
+    higher, lower = F.greatest(F.col("a") / n1, F.col("b") / n0), F.least(F.col("a") / n1, F.col("b") / n0)
+    found = counts.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (higher >= LEAST_RATIO * lower)).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).select("term").collect()
     return np.sort(np.array([r.term for r in found], np.int64).view(np.uint64))
 
 
@@ -266,7 +268,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ids, toxic = fit_rows(labels, fit)
     terms = vocabulary(docs, ids, toxic)
-    table, _ = written(vectors(docs, terms), "toxicity-vectors")
+    table, table_path = written(vectors(docs, terms), "toxicity-vectors")
     total = table.count()
     frequency = np.zeros(len(terms))
     for r in table.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most VOCABULARY rows
@@ -279,6 +281,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         examples += some.collect()
     index = build_index([(r.terms, r.counts) for r in examples], idf)
     voted, _ = written(votes(table, index, idf, [(r.doc_id, r.text_key, r.toxic) for r in examples]), "toxicity-votes")
+    discard(spark, table_path)
     counts, silent = np.zeros((2, BINS + 1)), np.zeros(2)
     for r in voted.join(_labelled(spark, ids, toxic), "doc_id").groupBy(F.floor(F.col("vote") * BINS).alias("bin"), "toxic").count().collect():
         if r.bin is None:
