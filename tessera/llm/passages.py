@@ -9,6 +9,7 @@ of that length, among which the tree is built.
    first one's, so that a signature of n windows gives n - 1 links, and each partition forwards one document's windows a signature.
 2. Interval join: links of one pair of documents at about one distance, whose aligned windows overlap, are one candidate; at least
    ``NEEDED`` of the hashes must take part.
+   Windows that step 3 does not explain are linked to the next documents with their signature, round by round, until they are or none is left.
 3. Verification: the tokens of both candidate regions are read from the texts, and the passages are the stretches covered by runs of TOKENS
    tokens that share so many with the other region that their Jaccard similarity to as long a run reaches ``SIMILARITY``.
 """
@@ -19,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, slices, small, text_bytes, written
@@ -99,7 +100,7 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 def _linked(key, w, owner_key=None, owner=None):
-    """Links of sorted windows (by key, doc, c) to the first of their key, which may be carried over. Returns links and the mask of the first document's windows."""
+    """Links of sorted windows (by key, doc, c) to the first of their key, which may be carried over. Returns links, the mask of the first document's windows, each window's first, and the last first."""
     first = np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]])
     run = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
@@ -108,9 +109,10 @@ def _linked(key, w, owner_key=None, owner=None):
         for n in _WINDOW:
             heads[n][0] = owner[n]
     other = w["doc"] != heads["doc"][run]
-    links = {n: w[n][other] for n in _WINDOW} | {f"o_{n}": heads[n][run[other]] for n in ("doc", "c", "l", "r")}
+    owners = {f"o_{n}": heads[n][run] for n in ("doc", "c", "l", "r")}
+    links = {n: w[n][other] for n in _WINDOW} | {n: v[other] for n, v in owners.items()} | {"sig": key[other]}
     last = {n: heads[n][-1] for n in _WINDOW} if len(starts) else owner
-    return links, ~other, last
+    return links, ~other, owners, last
 
 
 def _windows(batches):
@@ -121,9 +123,9 @@ def _windows(batches):
         merged = {c: np.concatenate([x[c] for x in kept]) for c in ("key", *_WINDOW)}
         order = np.lexsort((merged["c"], merged["doc"], merged["key"]))
         merged = {c: v[order] for c, v in merged.items()}
-        links, forward, _ = _linked(merged["key"], merged)
+        links, forward, _, _ = _linked(merged["key"], merged)
         none = np.zeros(int(forward.sum()), np.int64)
-        yield _rows(0, merged["key"][forward], {c: merged[c][forward] for c in _WINDOW} | {f"o_{c}": none for c in ("doc", "c", "l", "r")})
+        yield _rows(0, merged["key"][forward], {c: merged[c][forward] for c in _WINDOW} | {c: none for c in ("o_doc", "o_c", "o_l", "o_r", "sig")})
         yield _rows(1, mix((links["doc"] + links["c"]).view(np.uint64)).view(np.int64), links)
 
     for batch in slices(batches, BATCH_BYTES):
@@ -144,29 +146,32 @@ def _windows(batches):
 
 def _rows(kind, key, w):
     small = {c: pa.array(w[c].astype(np.int32)) for c in ("k", "c", "l", "r", "o_c", "o_l", "o_r")}
-    return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key), "doc": pa.array(w["doc"]), "o_doc": pa.array(w["o_doc"])} | small)
+    return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key), "doc": pa.array(w["doc"]), "o_doc": pa.array(w["o_doc"]), "sig": pa.array(w["sig"])} | small)
 
 
-_ROWS = "kind int, key bigint, doc bigint, o_doc bigint, k int, c int, l int, r int, o_c int, o_l int, o_r int"
-_LINKS = "doc bigint, o_doc bigint, k int, c int, l int, r int, o_c int, o_l int, o_r int"
+_ROWS = "kind int, key bigint, doc bigint, o_doc bigint, sig bigint, k int, c int, l int, r int, o_c int, o_l int, o_r int"
+_LINKS = "sig bigint, doc bigint, o_doc bigint, k int, c int, l int, r int, o_c int, o_l int, o_r int"
 _LINK_NAMES = ["doc", "o_doc", "k", "c", "l", "r", "o_c", "o_l", "o_r"]
 
 
 def _meet(batches):
-    """Rows sorted by key, doc and c: links (kind 1) pass, windows are linked to their key's first."""
+    """Rows sorted by key, doc and c: links (kind 1) pass, windows are linked to their key's first; further windows of its own document as well."""
     owner_key, owner = None, None
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        columns = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("key", *_LINK_NAMES)}
+        columns = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("key", "sig", *_LINK_NAMES)}
         through = kind == 1
         own = {c: v[~through] for c, v in columns.items()}
-        links, _, owner = _linked(own["key"], own, owner_key, owner)
+        _, _, owners, owner = _linked(own["key"], own, owner_key, owner)
         owner_key = own["key"][-1] if len(own["key"]) else owner_key
-        out = {c: np.concatenate([columns[c][through], links[c]]) for c in _LINK_NAMES}
-        yield pa.RecordBatch.from_pydict({c: pa.array(v if c in ("doc", "o_doc") else v.astype(np.int32)) for c, v in out.items()})
+        own |= owners | {"sig": own["key"]}
+        linked = (own["doc"] != own["o_doc"]) | (own["c"] != own["o_c"])
+        out = {c: np.concatenate([columns[c][through], own[c][linked]]) for c in ("sig", *_LINK_NAMES)}
+        yield pa.RecordBatch.from_pydict({c: pa.array(v if c in ("sig", "doc", "o_doc") else v.astype(np.int32)) for c, v in out.items()})
 
 
 def window_links(docs: DataFrame) -> DataFrame:
+    """Every window whose signature another one has is in a link, on either side; those of the first document are linked to its first place."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.mapInArrow(_windows, _ROWS)
     return rows.repartition(n, "key").sortWithinPartitions("key", "doc", "c").mapInArrow(_meet, _LINKS)
@@ -223,6 +228,7 @@ def _pairs(done):
 def candidates(links: DataFrame) -> DataFrame:
     """Pairs of regions (doc, lo, hi) and (o_doc, o_lo, o_hi), in token places, widened and rounded outwards."""
     n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = links.where("doc <> o_doc").select(*_LINK_NAMES)
     return links.repartition(n, "doc", "o_doc").sortWithinPartitions("doc", "o_doc", "c").mapInArrow(_candidates, "doc bigint, o_doc bigint, lo bigint, hi bigint, o_lo bigint, o_hi bigint").distinct()
 
 
@@ -274,12 +280,58 @@ def similar_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, floa
 def _verified(batches):
     for batch in batches:
         rows = []
-        for doc, o_doc, a, starts, ends, b in zip(*(batch.column(c).to_pylist() for c in ("doc", "o_doc", "tokens", "starts", "ends", "o_tokens")), strict=True):
+        for doc, o_doc, lo, a, starts, ends, b in zip(*(batch.column(c).to_pylist() for c in ("doc", "o_doc", "lo", "tokens", "starts", "ends", "o_tokens")), strict=True):
             starts, ends = np.frombuffer(starts, np.int32), np.frombuffer(ends, np.int32)
             for i, j, similarity in similar_stretches(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)):
-                rows.append((doc, o_doc, int(starts[i]), int(ends[j - 1]), j - i + SHINGLE - 1, similarity))
-        doc, o_doc, start, end, words, similarity = zip(*rows, strict=True) if rows else [[]] * 6
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "other_doc_id": pa.array(o_doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()), "n_words": pa.array(words, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
+                rows.append((doc, o_doc, int(starts[i]), int(ends[j - 1]), j - i + SHINGLE - 1, similarity, lo + i, lo + j))
+        doc, o_doc, start, end, words, similarity, first, last = zip(*rows, strict=True) if rows else [[]] * 8
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "other_doc_id": pa.array(o_doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()), "n_words": pa.array(words, pa.int64()), "similarity": pa.array(similarity, pa.float64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
+
+
+def stretches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The passages within pairs of regions, with their first token and the one after the last."""
+    spark = docs.sparkSession
+    pairs, pairs_path = written(pairs, "passage-pairs")
+    wanted = pairs.select("doc", "lo", "hi").union(pairs.select("o_doc", "o_lo", "o_hi")).distinct().groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    regions, regions_path = written(docs.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "los", "his").mapInArrow(_regions, "doc bigint, lo bigint, hi bigint, tokens binary, starts binary, ends binary"), "passage-regions")
+    other = regions.select(F.col("doc").alias("o_doc"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("tokens").alias("o_tokens"))
+    both = pairs.join(regions, ["doc", "lo", "hi"]).join(other, ["o_doc", "o_lo", "o_hi"])
+    fields = "doc_id bigint, other_doc_id bigint, start bigint, end bigint, n_words bigint, similarity double, first bigint, last bigint"
+    found, _ = written(both.select("doc", "o_doc", "lo", "tokens", "starts", "ends", "o_tokens").mapInArrow(_verified, fields).distinct(), "passages")
+    discard(spark, pairs_path, regions_path)
+    return found
+
+
+def _verified_windows(links: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, k and c of the windows whose minimum is in a passage with a document they are linked to."""
+    inside = (F.col("doc") == F.col("doc_id")) & (F.col("o_doc") == F.col("other_doc_id")) & (F.col("c") >= F.col("first")) & (F.col("c") < F.col("last"))
+    return links.join(found, inside, "left_semi").select("doc", "k", "c").distinct()
+
+
+def further_passages(docs: DataFrame, links: DataFrame, found: DataFrame) -> list[DataFrame]:
+    """Passages of windows that no passage with the linked document explains. They are linked to the next windows of their signature in earlier documents,
+    twice as many in each round, until they are verified or have met them all. Evidence for a pair is that of all rounds."""
+    spark = docs.sparkSession
+    every = links.select("sig", "doc", "k", "c", "l", "r").union(links.select("sig", "o_doc", "k", "o_c", "o_l", "o_r")).distinct()
+    left, left_path = written(links.where("doc <> o_doc").join(_verified_windows(links, found), ["doc", "k", "c"], "left_anti").select("sig", "doc", "k", "c", "l", "r"), "passage-left")
+    own = every.join(left.select("sig").distinct(), "sig", "left_semi")
+    place = (F.row_number().over(Window.partitionBy("sig").orderBy("doc", "c")) - 1).alias("place")
+    ranked, ranked_path = written(own.select("sig", F.col("doc").alias("o_doc"), F.col("c").alias("o_c"), F.col("l").alias("o_l"), F.col("r").alias("o_r"), place), "passage-places")
+    out, tried, paths, start, n = [], links.select("sig", *_LINK_NAMES), [ranked_path], 0, 1
+    while True:
+        owners = ranked.where((F.col("place") >= start) & (F.col("place") < start + n))
+        new, path = written(left.join(owners, "sig").where("o_doc < doc").select("sig", *_LINK_NAMES), "passage-links")
+        paths.append(path)
+        if new.isEmpty():
+            break
+        tried = tried.union(new)
+        evidence, evidence_path = written(tried.join(new.select("doc", "o_doc").distinct(), ["doc", "o_doc"], "left_semi").select("sig", *_LINK_NAMES).distinct(), "passage-evidence")
+        out.append(stretches(docs, candidates(evidence)))
+        after, after_path = written(left.join(_verified_windows(evidence, out[-1]), ["doc", "k", "c"], "left_anti"), "passage-left")
+        discard(spark, left_path, evidence_path)
+        left, left_path, start, n = after, after_path, start + n, 2 * n
+    discard(spark, left_path, *paths)
+    return out
 
 
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:
@@ -292,15 +344,11 @@ def near_duplicate_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     links, links_path = written(window_links(docs), "passage-links")
-    pairs, pairs_path = written(candidates(links), "passage-pairs")
+    found = stretches(docs, candidates(links))
+    for more in further_passages(docs, links, found):
+        found = found.union(more)
     discard(spark, links_path)
-    wanted = pairs.select("doc", "lo", "hi").union(pairs.select("o_doc", "o_lo", "o_hi")).distinct().groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    regions, regions_path = written(docs.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "los", "his").mapInArrow(_regions, "doc bigint, lo bigint, hi bigint, tokens binary, starts binary, ends binary"), "passage-regions")
-    other = regions.select(F.col("doc").alias("o_doc"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("tokens").alias("o_tokens"))
-    both = pairs.join(regions, ["doc", "lo", "hi"]).join(other, ["o_doc", "o_lo", "o_hi"])
-    found, _ = written(both.select("doc", "o_doc", "tokens", "starts", "ends", "o_tokens").mapInArrow(_verified, "doc_id bigint, other_doc_id bigint, start bigint, end bigint, n_words bigint, similarity double").distinct(), "passages")
-    discard(spark, pairs_path, regions_path)
-    return found
+    return found.drop("first", "last").distinct()
 
 
 def without_passages(docs: DataFrame) -> DataFrame:

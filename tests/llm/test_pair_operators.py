@@ -143,6 +143,26 @@ def test_passages_against_brute_force(spark):
     assert sum(" ".join(first) in r.text for r in cut.values()) == 1
 
 
+def test_copies_after_variants_that_are_not_alike_enough(spark):
+    rng = random.Random(21)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"v{next(fresh)}" for _ in range(n)]
+    rows, copies = [], {}
+    for i in range(12):
+        text = new(50)
+        for j in range(6):  # four words changed: 26 to 30 of the 46 shingles stay
+            variant = text[:]
+            for at in (6, 18, 30, 42):
+                variant[at + rng.randint(-3, 3)] = new(1)[0]
+            rows.append((100 * i + j, " ".join([*new(20), *variant, *new(20)])))
+        for j in (50, 51):
+            rows.append((100 * i + j, " ".join([*new(20), *text, *new(20)])))
+        copies[100 * i + 51] = 100 * i + 50
+    found = passages.near_duplicate_passages(frame(spark, rows).repartition(3)).collect()
+    assert {r.doc_id: r.other_doc_id for r in found} == copies
+    assert all(r.n_words == 50 and r.similarity == 1 for r in found)
+
+
 def test_passages_of_odd_documents(spark):
     rows = odd_rows()
     found = passages.near_duplicate_passages(frame(spark, rows)).collect()
