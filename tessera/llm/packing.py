@@ -10,7 +10,11 @@ executor is lost.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -25,6 +29,25 @@ from .shared import slices, texts_of, written
 END_ID = 0
 
 
+@lru_cache(maxsize=4)
+def added_tokens(ranks_path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """The added tokens of the JSON beside the ranks, which the ``tokenizers`` library matches inside texts: a pattern and their ids."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return None, {}
+    with open(path, encoding="utf-8") as lines:
+        ids = {x["content"]: x["id"] for x in json.load(lines)["added_tokens"]}
+    return re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")") if ids else None, ids
+
+
+def ids_of(bpe, ranks_path: str, text: str) -> list[int]:
+    """The ids of a text as the ``tokenizers`` library has them at its default settings, without special tokens around it."""
+    pattern, added = added_tokens(ranks_path)
+    if pattern is None or not pattern.search(text):
+        return bpe.encode(text)
+    return [i for x in pattern.split(text) for i in ([added[x]] if x in added else bpe.encode(x))]
+
+
 def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = 1024, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if with_ids).
 
@@ -35,7 +58,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = 1024, wit
     def encode(batches):
         bpe, pid, before = codec(ranks_path, pattern), TaskContext.get().partitionId(), 0
         for batch in slices(batches, BATCH_BYTES):
-            ids = [np.array([*x, END_ID], np.uint16 if bpe.leaf.n_vocab <= 1 << 16 else np.uint32) for x in map(bpe.encode, texts_of(batch.column("text")))]
+            ids = [np.array([*x, END_ID], np.uint16 if max(bpe.leaf.n_vocab, *(i + 1 for i in added_tokens(ranks_path)[1].values()), 0) <= 1 << 16 else np.uint32) for x in (ids_of(bpe, ranks_path, t) for t in texts_of(batch.column("text")))]
             counts = np.array([len(x) for x in ids], np.int64)
             places = before + np.cumsum(counts) - counts
             before += int(counts.sum())

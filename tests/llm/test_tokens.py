@@ -81,3 +81,14 @@ def test_pack(spark, length):
             assert [p["start"] for p in own] == list(np.cumsum([0, *(p["length"] for p in own)])[:-1])
             assert {p["doc_tokens"] for p in own} == {len(wanted)}
     assert packing.pack(frame(spark, []), RANKS, P.PATTERN).count() == 0
+
+
+def test_pack_matches_added_tokens_inside_texts(spark):
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    rows = [(0, "end of text <|endoftext|> next"), (1, "<|endoftext|>"), (2, "a<|endoftext|><|endoftext|> b"), (3, "<|endoftext|"), (4, "word " * 1000 + "<|endoftext|>" + " word" * 1000)]
+    rows += [(10 + i, "".join(rng.choices(PIECES, k=rng.randint(0, 60)))) for i in range(200)]
+    pieces = packing.pack(frame(spark, rows), RANKS, P.PATTERN, 64, with_ids=True).collect()
+    for doc_id, text in rows:
+        own = sorted((p.sequence_id, p.offset, p.ids) for p in pieces if p.doc_id == doc_id)
+        assert [i for *_, ids in own for i in ids] == [*other.encode(text, add_special_tokens=False).ids, packing.END_ID]
