@@ -7,8 +7,8 @@ idf = ln((N + 1) / (df + 1)) + 1 over all N documents, of length 1.
 
 The index holds up to ``PER_CLASS`` examples of each class as postings in blocks of ``BLOCK`` examples, each with its largest weight.
 Queries add the products of their weights with the blocks' largest, take the blocks in order of that bound, and leave out blocks whose
-bound does not reach the k-th best cosine so far, so the k nearest are exact. Examples with the query's very text do not vote: they may
-be the query itself.
+bound does not reach the k-th best cosine so far, so the k nearest are exact. Rows with one text are one example, with the share of toxic among
+their labels. The example with the query's very text does not vote, as it may be the query itself; the k nearest of the others do.
 
 A vote is the share of toxic among the nearest, weighted by cosine. The votes of the fitted rows give the calibration, a logistic curve
 through the counts per vote and label; texts without a vote score the rate of toxic among fitted rows without one. What a text gets
@@ -214,13 +214,13 @@ def build_index(rows: list, idf: np.ndarray) -> BlockMaxIndex:
 
 
 def votes(table: DataFrame, index: BlockMaxIndex, idf: np.ndarray, examples: list, nearest: int = NEAREST) -> DataFrame:
-    """Per row of vectors(): doc_id, vote (null without neighbours), evidence: the three nearest (doc_id, cosine, toxic). examples: (doc_id, text_key, toxic)."""
+    """Per row of vectors(): doc_id, vote (null without neighbours), evidence: the three nearest (doc_id, cosine, toxic). examples, one a text: (doc_id, text_key, toxic, from 0 to 1)."""
     k = int(np.clip(len(examples) // 20, min(5, len(examples)), nearest))
     shared = table.sparkSession.sparkContext.broadcast((index, idf, examples))
 
     def run(batches):
         index, idf, examples = shared.value
-        ids, keys, labels = (np.array([x[i] for x in examples], np.int64) for i in range(3))
+        ids, keys, labels = (np.array([x[i] for x in examples], kind) for i, kind in enumerate((np.int64, np.int64, float)))
         evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
@@ -229,11 +229,13 @@ def votes(table: DataFrame, index: BlockMaxIndex, idf: np.ndarray, examples: lis
                 rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
                 terms = np.array([t for x in lists for t in x], np.int64)
                 counts = np.array([c for x in batch.column("counts").to_pylist() for c in x or []], float)
-                best, who = index.nearest(rows, terms, unit_weights(rows, terms, counts, idf, batch.num_rows), batch.num_rows, k) if k else (np.zeros((batch.num_rows, 0)), np.zeros((batch.num_rows, 0), np.int64))
-                weight = np.where(keys[who] == batch.column("text_key").to_numpy()[:, None], 0, best)
+                best, who = index.nearest(rows, terms, unit_weights(rows, terms, counts, idf, batch.num_rows), batch.num_rows, k + 1) if k else (np.zeros((batch.num_rows, 0)), np.zeros((batch.num_rows, 0), np.int64))
+                own = keys[who] == batch.column("text_key").to_numpy()[:, None]
+                others = np.argsort(own, axis=1, kind="stable")[:, :k]
+                weight, voters = (np.take_along_axis(x, others, 1) for x in (np.where(own, 0, best), who))
                 sums = weight.sum(1)
-                vote = (weight * labels[who]).sum(1) / np.where(sums > 0, sums, 1)
-                evidence = [[{"doc_id": int(ids[j]), "cosine": float(c), "toxic": int(labels[j])} for c, j in zip(b[:3], w[:3], strict=True) if c > 0] for b, w in zip(best, who, strict=True)]
+                vote = (weight * labels[voters]).sum(1) / np.where(sums > 0, sums, 1)
+                evidence = [[{"doc_id": int(ids[j]), "cosine": float(c), "toxic": int(labels[j] >= 0.5)} for c, j in zip(b[:3], w[:3], strict=True) if c > 0] for b, w in zip(best, who, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "vote": pa.array([float(v) if x > 0 else None for v, x in zip(vote, sums, strict=True)], pa.float64()), "evidence": pa.array(evidence, evidence_type)})
 
     return table.mapInArrow(run, "doc_id bigint, vote double, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
@@ -275,13 +277,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         frequency[r.term] = r["count"]
     idf = np.log((total + 1) / (frequency + 1)) + 1
     fitted = table.join(_labelled(spark, ids, toxic), "doc_id")
+    first = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
+    grouped = fitted.where(F.size("terms") > 0).groupBy("text_key").agg(F.min(first).alias("first"), F.avg("toxic").alias("share"), F.min_by("terms", first).alias("terms"), F.min_by("counts", first).alias("counts"))
+    texts, texts_path = written(grouped.select("first.*", "text_key", "share", "terms", "counts"), "toxicity-texts")
     examples = []
-    for label in (1, 0):
-        some = fitted.where((F.col("toxic") == label) & (F.size("terms") > 0)).orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(per_class)
+    for label in (True, False):
+        some = texts.where((F.col("share") >= 0.5) == label).orderBy("hash", "doc_id", "text_key").limit(per_class)
         examples += some.collect()
     index = build_index([(r.terms, r.counts) for r in examples], idf)
-    voted, _ = written(votes(table, index, idf, [(r.doc_id, r.text_key, r.toxic) for r in examples]), "toxicity-votes")
-    discard(spark, table_path)
+    voted, _ = written(votes(table, index, idf, [(r.doc_id, r.text_key, r.share) for r in examples]), "toxicity-votes")
+    discard(spark, table_path, texts_path)
     counts, silent = np.zeros((2, BINS + 1)), np.zeros(2)
     for r in voted.join(_labelled(spark, ids, toxic), "doc_id").groupBy(F.floor(F.col("vote") * BINS).alias("bin"), "toxic").count().collect():
         if r.bin is None:

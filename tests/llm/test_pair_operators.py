@@ -232,6 +232,17 @@ def test_scores_depend_on_the_text_alone(spark):
     assert all(found[i] == pytest.approx(found[5000 + i]) for i, _ in rows[:60])
 
 
+def test_copies_of_one_text_are_voted_on_by_others(spark):
+    rows, labels = toxic_rows()
+    copies = [(5000 + i, rows[next(i for i, _, t in labels if t)][1]) for i in range(600)]
+    plain = [(8000 + i, f"qq{i}") for i in range(40)]  # without a term of the vocabulary
+    known = spark.createDataFrame(labels + [(i, 1, 1) for i, _ in copies] + [(i, 1, 0) for i, _ in plain], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r for r in toxicity.score_documents(frame(spark, rows + copies + plain + [(9000, "")]), known).collect()}
+    assert found[5000].score > max(0.5, found[9000].score) and not found[9000].predicted
+    assert len({r.doc_id for r in found.values() if r.doc_id and 5000 <= r.doc_id < 8000 and r.predicted}) == 600
+    assert all(len({e.doc_id for e in r.evidence} & {i for i, _ in copies}) <= 1 for r in found.values())
+
+
 def test_toxicity_without_labels_or_rows(spark):
     rows, labels = toxic_rows(20)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
