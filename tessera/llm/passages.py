@@ -5,13 +5,17 @@ the order's values gives for every token c the largest window [l, r] in which it
 signature c. Only windows of ``TOKENS`` tokens or more matter (about 2 in every TOKENS + 1 tokens), and those are the minima of the sliding windows
 of that length, among which the tree is built.
 
-1. Windows meet by signature. In each scan partition and then overall, the windows of all documents but the first (by doc_id) are linked to the
-   first one's, so that a signature of n windows gives n - 1 links, and each partition forwards one document's windows a signature.
+0. Equal texts are one document, that of their least doc_id; each other one has a single passage, its whole text.
+1. Windows meet by signature. A window is linked to the first document (by doc_id) that has its signature, to the first one that also has
+   the ``CONTEXT`` tokens after its minimum, the first with those before it, and the first with both. So earlier texts that are not alike enough do
+   not stand between two copies: what TOKENS tokens of two texts have in common has the tokens on one side of the minimum in common. Each scan
+   partition sends on the windows of one document only where several have a window in the same TOKENS tokens at the same place.
 2. Interval join: links of one pair of documents at about one distance, whose aligned windows overlap, are one candidate; at least
    ``NEEDED`` of the hashes must take part.
-   Windows that step 3 does not explain are linked to the next documents with their signature, round by round, until they are or none is left.
 3. Verification: the tokens of both candidate regions are read from the texts, and the passages are the stretches covered by runs of TOKENS
    tokens that share so many with the other region that their Jaccard similarity to as long a run reaches ``SIMILARITY``.
+
+Windows and links are dealt as blobs: the arrays of all windows of a partition's scan that go to one place are one row.
 """
 
 from __future__ import annotations
@@ -28,18 +32,30 @@ from .words import mix, word_hashes
 
 SHINGLE = 5
 TOKENS = 46  # 50 words
-HASHES = 6
+HASHES = 4
 NEEDED = 2
 SIMILARITY = 0.8
 #: of TOKENS tokens, for a Jaccard similarity of SIMILARITY between runs of TOKENS tokens
 LEAST_SHARED = math.ceil(2 * TOKENS * SIMILARITY / (1 + SIMILARITY))
+#: a run of TOKENS tokens has so many on one side of any of its tokens
+CONTEXT = TOKENS // 2
 SHIFT = 16
 MARGIN = 48
 ROUND = 32
-BATCH_BYTES = 2 << 20
-FLUSH = 1_500_000
+#: how far a window counts on either side of its minimum: any run of TOKENS tokens has another minimum
+REACH = 255
+BATCH_BYTES = 1 << 20
+FLUSH = 600_000
+#: bytes of text whose windows meet in one partition, and partitions at most
+PART_BYTES, MOST_PARTS = 24 << 20, 50_000
+#: pairs of one earlier document that one task verifies
+PAIRS = 256
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
-_WINDOW = ["k", "doc", "c", "l", "r"]
+_ODD = 0xD1342543DE82EF95
+_BACK = pow(_ODD, -1, 1 << 64)
+_WINDOW = {"key": "u8", "doc": "i8", "variant": "i4", "c": "i4", "prior": "u4", "next": "u4", "before": "u1", "after": "u1", "k": "u1"}
+_LINK = {"doc": "i8", "o_doc": "i8", "variant": "i4", "o_variant": "i4", "c": "i4", "o_c": "i4", "before": "u1", "after": "u1", "k": "u1"}
+_BLOBS = "part int, kind int, n int, data binary"
 
 
 def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,67 +91,135 @@ def minima(values: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
     return place[np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))].astype(np.int64) if len(place) else np.zeros(0, np.int64)
 
 
+def _nearest(centres, value, row, before: bool):
+    """Of each centre the place (among the centres) of the nearest one before it with a value that is not greater, or after it with a smaller one; -1 or the length where its row has none.
+
+    All look at once one step further, over what those they stand on have passed already, so that the steps halve what is left.
+    """
+    n = len(centres)
+    at = np.arange(n) - 1 if before else np.arange(n) + 1
+    open_ = np.arange(n)
+    while len(open_):
+        to = at[open_]
+        inside = (to >= 0) & (to < n)
+        open_, to = open_[inside], to[inside]
+        over = (row[to] == row[open_]) & ((value[to] > value[open_]) if before else (value[to] >= value[open_]))
+        open_ = open_[over]
+        at[open_] = at[to[over]]
+    other = (at < 0) | (at >= n)
+    other[~other] = row[at[~other]] != row[~other]
+    at[other] = -1 if before else n
+    return at
+
+
 def compact_windows(values: np.ndarray, rows: np.ndarray, firsts: np.ndarray, length: int = TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """c, l, r (places in values, inclusive) of the windows of length or more: a Cartesian tree over the sliding minima."""
     centres = minima(values, rows, length)
     if not len(centres):
         return centres, centres, centres
-    row = rows[centres]
-    floor, ceiling = firsts[row].tolist(), (firsts[row + 1] - 1).tolist()
-    left, right, stack = floor[:], ceiling[:], []
-    value, place, own = values[centres].tolist(), centres.tolist(), row.tolist()
-    for i, v in enumerate(value):
-        while stack and (own[stack[-1]] != own[i] or value[stack[-1]] > v):
-            j = stack.pop()
-            if own[j] == own[i]:
-                right[j] = place[i] - 1
-        if stack:
-            left[i] = place[stack[-1]] + 1
-        stack.append(i)
-    return centres, np.array(left, np.int64), np.array(right, np.int64)
-
-
-def _batch(columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
-
-
-def _linked(key, w, owner_key=None, owner=None):
-    """Links of sorted windows (by key, doc, c) to the first of their key, which may be carried over. Returns links, the mask of the first document's windows, each window's first, and the last first."""
-    first = np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]])
-    run = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    heads = {n: w[n][starts] for n in _WINDOW}
-    if owner_key is not None and len(key) and key[0] == owner_key:
-        for n in _WINDOW:
-            heads[n][0] = owner[n]
-    other = w["doc"] != heads["doc"][run]
-    owners = {f"o_{n}": heads[n][run] for n in ("doc", "c", "l", "r")}
-    links = {n: w[n][other] for n in _WINDOW} | {n: v[other] for n, v in owners.items()} | {"sig": key[other]}
-    last = {n: heads[n][-1] for n in _WINDOW} if len(starts) else owner
-    return links, ~other, owners, last
-
-
-def _windows(batches):
-    """Per scan partition: links between its own documents (kind 1) and the windows to forward (kind 0)."""
+    row, value = rows[centres], values[centres]
+    left, right = _nearest(centres, value, row, True), _nearest(centres, value, row, False)
+    left = np.where(left < 0, firsts[row], centres[np.maximum(left, 0)] + 1)
+    right = np.where(right >= len(centres), firsts[row + 1] - 1, centres[np.minimum(right, len(centres) - 1)] - 1)
+    return centres, left, right
+
+
+class RunHashes:
+    """Hashes of any runs of the tokens, from one running sum."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens) + 1
+        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK, np.uint64)]), dtype=np.uint64)
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _ODD, np.uint64)]), dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * powers[: len(tokens)], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
+def _dealt(w: dict, kind: int, layout: dict, part: np.ndarray) -> pa.RecordBatch:
+    """The rows of w as one blob a part."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    arrays = [w[n].astype(t, copy=False)[order] for n, t in layout.items()]
+    cuts = np.flatnonzero(np.concatenate([np.ones(min(len(part), 1), bool), part[1:] != part[:-1]]))
+    ends = np.append(cuts, len(part))[1:]
+    blobs = [b"".join(x[a:b].tobytes() for x in arrays) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[cuts].astype(np.int32)), "kind": pa.array(np.full(len(cuts), kind, np.int32)), "n": pa.array((ends - cuts).astype(np.int32)), "data": pa.array(blobs, pa.binary())})
+
+
+def _read(blobs: list[tuple[int, bytes]], layout: dict) -> dict:
+    parts = {name: [] for name in layout}
+    for n, data in blobs:
+        at = 0
+        for name, kind in layout.items():
+            parts[name].append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return {name: np.concatenate([np.zeros(0, kind), *parts[name]]) for name, kind in layout.items()}
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted rows, the mask of those that differ from the row before."""
+    first = np.zeros(len(columns[0]), bool)
+    first[:1] = True
+    for x in columns:
+        first[1:] |= x[1:] != x[:-1]
+    return first
+
+
+def _links(w: dict, at: np.ndarray, owner: np.ndarray) -> dict:
+    """Links of the windows at to the windows owner."""
+    link = {n: w[n][at] for n in ("doc", "variant", "c", "k")} | {f"o_{n}": w[n][owner] for n in ("doc", "variant", "c")}
+    return link | {n: np.minimum(w[n][at], w[n][owner]) for n in ("before", "after")}
+
+
+def _pair_part(link: dict, n: int) -> np.ndarray:
+    pair = mix(link["doc"].astype(np.int64).view(np.uint64) + link["variant"].astype(np.uint64) * _STEP) ^ mix(link["o_doc"].astype(np.int64).view(np.uint64) * _STEP + link["o_variant"].astype(np.uint64))
+    return (mix(pair) % np.uint64(n)).astype(np.int32)
+
+
+def _windows(batches, n_parts):
+    """Per scan partition: windows to be sent to their signature's part (kind 0), and links between its own documents (kind 1)."""
     kept, n = [], 0
 
     def flush():
-        merged = {c: np.concatenate([x[c] for x in kept]) for c in ("key", *_WINDOW)}
-        order = np.lexsort((merged["c"], merged["doc"], merged["key"]))
-        merged = {c: v[order] for c, v in merged.items()}
-        links, forward, _, _ = _linked(merged["key"], merged)
-        none = np.zeros(int(forward.sum()), np.int64)
-        yield _rows(0, merged["key"][forward], {c: merged[c][forward] for c in _WINDOW} | {c: none for c in ("o_doc", "o_c", "o_l", "o_r", "sig")})
-        yield _rows(1, mix((links["doc"] + links["c"]).view(np.uint64)).view(np.int64), links)
+        w = {c: np.concatenate([x[c] for x in kept]) for c in (*_WINDOW, "home")}
+        order = np.argsort(w["home"], kind="stable")
+        home = w["home"][order]
+        first = _heads(home)
+        alone = first & np.append(first[1:], True)
+        some = order[~alone]
+        some = some[np.lexsort((w["c"][some], w["variant"][some], w["doc"][some], w["home"][some]))]
+        same = {c: w[c][some] for c in w}
+        once = _heads(same["home"], same["doc"], same["variant"], same["c"])
+        some, same = some[once], {c: v[once] for c, v in same.items()}
+        head = np.flatnonzero(_heads(same["home"]))
+        owner = head[np.cumsum(_heads(same["home"])) - 1]
+        other = (same["doc"] != same["doc"][owner]) | (same["variant"] != same["variant"][owner])
+        onward = np.concatenate([order[alone], some[~other]])
+        forward = {c: w[c][onward] for c in _WINDOW}
+        yield _dealt(forward, 0, _WINDOW, (forward["key"] % np.uint64(n_parts)).astype(np.int32))
+        links = _links(same, np.flatnonzero(other), owner[other])
+        yield _dealt(links, 1, _LINK, _pair_part(links, n_parts))
 
     for batch in slices(batches, BATCH_BYTES):
-        doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        doc_ids = batch.column("doc_id").to_numpy()
+        variants = batch.column("variant").to_numpy()
         tokens, rows, firsts, _, _ = tokens_of(*text_bytes(batch.column("text")))
+        runs = RunHashes(tokens)
         for k in range(HASHES):
             values = mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF))
             c, left, right = compact_windows(values, rows, firsts)
-            base = firsts[rows[c]]
-            kept.append({"key": values[c].view(np.int64), "k": np.full(len(c), k, np.int64), "doc": doc_ids[rows[c]], "c": c - base, "l": left - base, "r": right - base})
+            row = rows[c]
+            base, end = firsts[row], firsts[row + 1]
+            prior, following = np.maximum(c - CONTEXT, base), np.minimum(c + 1 + CONTEXT, end)
+            start = np.clip(c - CONTEXT, base, end - TOKENS)
+            home = runs.of(start, start + TOKENS) + (c - start).astype(np.uint64) * _STEP
+            kept.append({
+                "key": values[c], "doc": doc_ids[row], "variant": variants[row], "c": (c - base).astype(np.int32), "home": mix(home ^ values[c]),
+                "prior": (runs.of(prior, c) >> np.uint64(32)).astype(np.uint32), "next": (runs.of(c + 1, following) >> np.uint64(32)).astype(np.uint32),
+                "before": np.minimum(c - left, REACH).astype(np.uint8), "after": np.minimum(right - c, REACH).astype(np.uint8), "k": np.full(len(c), k, np.uint8),
+            })
             n += len(c)
         if n >= FLUSH:
             yield from flush()
@@ -144,115 +228,162 @@ def _windows(batches):
         yield from flush()
 
 
-def _rows(kind, key, w):
-    small = {c: pa.array(w[c].astype(np.int32)) for c in ("k", "c", "l", "r", "o_c", "o_l", "o_r")}
-    return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key), "doc": pa.array(w["doc"]), "o_doc": pa.array(w["o_doc"]), "sig": pa.array(w["sig"])} | small)
+def meeting_links(w: dict) -> dict:
+    """Links of all windows to the first documents of their classes: those with the signature, and with the tokens after, before, and around it."""
+    order = np.argsort(w["key"], kind="stable")
+    first = _heads(w["key"][order])
+    order = order[~(first & np.append(first[1:], True))]
+    w = {n: v[order] for n, v in w.items()}
+    order = np.lexsort((w["c"], w["variant"], w["doc"], w["key"]))
+    w = {n: v[order] for n, v in w.items()}
+    new_key = _heads(w["key"])
+    starts = np.flatnonzero(new_key)
+    run = np.cumsum(new_key) - 1
+    if len(starts):
+        other = (w["doc"] != w["doc"][starts][run]) | (w["variant"] != w["variant"][starts][run])
+        met = np.logical_or.reduceat(other, starts)[run]
+        w, run = {n: v[met] for n, v in w.items()}, run[met]
+    owners: list[np.ndarray] = []
+    found = []
+    for columns in ((), ("next",), ("prior",), ("prior", "next")):
+        order = np.lexsort((*(w[n] for n in columns), run)) if columns else np.arange(len(run))  # stable: by document and place in each class
+        head = _heads(run[order], *(w[n][order] for n in columns))
+        owner = np.empty(len(run), np.int64)
+        owner[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        linked = (w["doc"] != w["doc"][owner]) | (w["variant"] != w["variant"][owner])
+        for earlier in owners:
+            linked &= owner != earlier
+        owners.append(owner)
+        at = np.flatnonzero(linked)
+        found.append(_links(w, at, owner[at]))
+    return {n: np.concatenate([x[n] for x in found]) for n in _LINK}
+
+
+def _meet(batches, n_parts):
+    windows = []
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        through = batch.filter(pa.array(kind == 1))
+        if through.num_rows:
+            yield through
+        windows += zip(batch.column("n").filter(pa.array(kind == 0)).to_pylist(), batch.column("data").filter(pa.array(kind == 0)).to_pylist(), strict=True)
+    links = meeting_links(_read(windows, _WINDOW))
+    if len(links["doc"]):
+        yield _dealt(links, 1, _LINK, _pair_part(links, n_parts))
 
 
-_ROWS = "kind int, key bigint, doc bigint, o_doc bigint, sig bigint, k int, c int, l int, r int, o_c int, o_l int, o_r int"
-_LINKS = "sig bigint, doc bigint, o_doc bigint, k int, c int, l int, r int, o_c int, o_l int, o_r int"
-_LINK_NAMES = ["doc", "o_doc", "k", "c", "l", "r", "o_c", "o_l", "o_r"]
+def regions(link: dict) -> list[tuple]:
+    """(doc, variant, o_doc, o_variant, lo, hi, o_lo, o_hi), in token places, for which enough hashes take part.
 
+    One token that both texts have can be the minimum of several orders, so NEEDED different tokens must take part as well. Distances are looked at
+    in two rows of bins that overlap by half, so that any two that are SHIFT apart or nearer are in one bin.
+    """
+    names = ("doc", "variant", "o_doc", "o_variant")
+    order = np.lexsort([link[n] for n in reversed(names)])
+    link = {n: v[order] for n, v in link.items()}
+    pair_head = _heads(*(link[n] for n in names))
+    pair, pair_at = np.cumsum(pair_head) - 1, np.flatnonzero(pair_head)
+    c, shift = link["c"].astype(np.int64), link["o_c"].astype(np.int64) - link["c"]
+    lo, hi = c - link["before"], c + link["after"]
+    segments = []
+    for offset in (0, SHIFT):
+        bins = (shift + offset) // (2 * SHIFT)
+        order = np.lexsort((lo, bins, pair))
+        head = _heads(pair[order], bins[order])
+        group = np.cumsum(head) - 1
+        span = int(hi.max(initial=0)) + 2 * TOKENS
+        reached = np.maximum.accumulate(hi[order] + group * span) - group * span
+        head[1:] |= lo[order][1:] > reached[:-1] + TOKENS
+        at = np.flatnonzero(head)
+        if not len(at):
+            continue
+        least, most = (lambda x: np.minimum.reduceat(x[order], at)), (lambda x: np.maximum.reduceat(x[order], at))
+        ks = np.bitwise_or.reduceat((1 << link["k"].astype(np.int64))[order], at)
+        good = (np.bitwise_count(ks) >= NEEDED) & (least(c) != most(c))
+        segments.append(np.stack([pair[order][at], least(lo), most(hi), least(lo + shift), most(hi + shift)], 1)[good])
+    found = np.concatenate([np.zeros((0, 5), np.int64), *segments])
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    out, open_, now = [], [], -1
+    heads = [link[n][pair_at] for n in names]
+
+    def close(groups):
+        out.extend((*(int(x[now]) for x in heads), *g) for g in groups)
+
+    for p, a, b, o_a, o_b in found.tolist():
+        if p != now:
+            close(open_)
+            now, open_ = p, []
+        close([g for g in open_ if g[1] + TOKENS < a])  # nothing to come starts before a
+        open_ = [g for g in open_ if g[1] + TOKENS >= a]
+        for g in open_:
+            if o_a <= g[3] + TOKENS and o_b + TOKENS >= g[2]:
+                g[1], g[2], g[3] = max(g[1], b), min(g[2], o_a), max(g[3], o_b)
+                break
+        else:
+            open_.append([a, b, o_a, o_b])
+    close(open_)
+    return out
 
-def _meet(batches):
-    """Rows sorted by key, doc and c: links (kind 1) pass, windows are linked to their key's first; further windows of its own document as well."""
-    owner_key, owner = None, None
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        columns = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("key", "sig", *_LINK_NAMES)}
-        through = kind == 1
-        own = {c: v[~through] for c, v in columns.items()}
-        _, _, owners, owner = _linked(own["key"], own, owner_key, owner)
-        owner_key = own["key"][-1] if len(own["key"]) else owner_key
-        own |= owners | {"sig": own["key"]}
-        linked = (own["doc"] != own["o_doc"]) | (own["c"] != own["o_c"])
-        out = {c: np.concatenate([columns[c][through], own[c][linked]]) for c in ("sig", *_LINK_NAMES)}
-        yield pa.RecordBatch.from_pydict({c: pa.array(v if c in ("sig", "doc", "o_doc") else v.astype(np.int32)) for c, v in out.items()})
 
+def _candidates(batches):
+    blobs = [x for batch in batches for x in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist(), strict=True)]
+    found = regions(_read(blobs, _LINK))
+    if found:
+        doc, variant, o_doc, o_variant, lo, hi, o_lo, o_hi = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        lower, upper = lambda x: np.maximum(x - MARGIN, 0) // ROUND * ROUND, lambda x: -(-(x + MARGIN + 1) // ROUND) * ROUND
+        columns = {"doc": doc, "variant": variant.astype(np.int32), "o_doc": o_doc, "o_variant": o_variant.astype(np.int32), "lo": lower(lo), "hi": upper(hi), "o_lo": lower(o_lo), "o_hi": upper(o_hi)}
+        yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
-def window_links(docs: DataFrame) -> DataFrame:
-    """Every window whose signature another one has is in a link, on either side; those of the first document are linked to its first place."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(_windows, _ROWS)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "doc", "c").mapInArrow(_meet, _LINKS)
 
+_PAIRS = "doc bigint, variant int, o_doc bigint, o_variant int, lo bigint, hi bigint, o_lo bigint, o_hi bigint"
 
-def _candidates(batches):
-    """Rows sorted by doc, o_doc and c: regions of pairs in which enough hashes take part."""
-    pair, open_groups = None, []
-    done: list[tuple] = []
 
-    def finish(groups):
-        """One token that both texts have can be the minimum of several orders, so NEEDED different tokens must take part as well."""
-        for g in groups:
-            if len(g["ks"]) >= NEEDED and len(g["cs"]) >= NEEDED:
-                done.append((*pair, *(g[x] for x in ("lo", "hi", "o_lo", "o_hi"))))
+def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
+    """docs: doc_id, variant, text. Pairs of regions (doc, lo, hi) and (o_doc, o_lo, o_hi), in token places, widened and rounded outwards."""
+    met = docs.select("doc_id", "variant", "text").mapInArrow(lambda b: _windows(b, n_parts), _BLOBS).repartitionById(n_parts, F.col("part")).mapInArrow(lambda b: _meet(b, n_parts), _BLOBS)
+    return met.repartitionById(n_parts, F.col("part")).mapInArrow(_candidates, _PAIRS)
 
-    def close():
-        finish(open_groups)
-        open_groups.clear()
 
-    for batch in batches:
-        for doc, o_doc, k, c, left, right, o_c, o_l, o_r in zip(*(batch.column(n).to_pylist() for n in _LINK_NAMES), strict=True):
-            if pair != (doc, o_doc):
-                close()
-                pair = doc, o_doc
-            before, after = min(c - left, o_c - o_l), min(right - c, o_r - o_c)
-            lo, hi, shift = c - before, c + after, o_c - c
-            for g in open_groups:
-                if abs(g["shift"] - shift) <= SHIFT and lo <= g["hi"] + TOKENS:
-                    g["lo"], g["hi"], g["o_lo"], g["o_hi"], g["shift"] = min(g["lo"], lo), max(g["hi"], hi), min(g["o_lo"], lo + shift), max(g["o_hi"], hi + shift), shift
-                    g["ks"].add(k)
-                    g["cs"].add(c)
-                    break
-            else:
-                open_groups.append({"lo": lo, "hi": hi, "o_lo": lo + shift, "o_hi": hi + shift, "shift": shift, "ks": {k}, "cs": {c}})
-                if len(open_groups) > 64:  # those that nothing to come can reach, as c never falls and a window is at most as long as its text
-                    over = [g for g in open_groups if g["hi"] + TOKENS < left]
-                    finish(over)
-                    open_groups = [g for g in open_groups if g["hi"] + TOKENS >= left]
-        if done:
-            yield _pairs(done)
-            done = []
-    close()
-    if done:
-        yield _pairs(done)
-
-
-def _pairs(done):
-    doc, o_doc, lo, hi, o_lo, o_hi = (np.array(x, np.int64) for x in zip(*done, strict=True))
-    lower, upper = lambda x: np.maximum(x - MARGIN, 0) // ROUND * ROUND, lambda x: -(-(x + MARGIN + 1) // ROUND) * ROUND
-    return _batch({"doc": doc, "o_doc": o_doc, "lo": lower(lo), "hi": upper(hi), "o_lo": lower(o_lo), "o_hi": upper(o_hi)})
-
-
-def candidates(links: DataFrame) -> DataFrame:
-    """Pairs of regions (doc, lo, hi) and (o_doc, o_lo, o_hi), in token places, widened and rounded outwards."""
-    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = links.where("doc <> o_doc").select(*_LINK_NAMES)
-    return links.repartition(n, "doc", "o_doc").sortWithinPartitions("doc", "o_doc", "c").mapInArrow(_candidates, "doc bigint, o_doc bigint, lo bigint, hi bigint, o_lo bigint, o_hi bigint").distinct()
+_REGIONS = "o_doc bigint, o_variant int, salt int, side int, doc bigint, variant int, text_key bigint, lo bigint, o_lo bigint, o_hi bigint, tokens binary, starts binary, ends binary"
+
+
+def _short(tokens: np.ndarray) -> bytes:
+    """32 bits a token: enough to tell the tokens of two regions apart."""
+    return (tokens >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
 def _regions(batches):
-    """doc, lo, hi, the tokens of the region, and of each token the first character and the end of its words."""
+    """Rows of the regions asked for: of the later document each region with its words' places, of the earlier one its regions joined, once a salt."""
+    kinds = {f.split()[0]: {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in _REGIONS.split(", ")}
     for batch in slices(batches, BATCH_BYTES):
         data, bounds = text_bytes(batch.column("text"))
         tokens, _, firsts, starts, ends = tokens_of(data, bounds)
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         word_first = np.searchsorted(starts, bounds)
-        out = {"doc": [], "lo": [], "hi": [], "tokens": [], "starts": [], "ends": []}
-        for i, (doc, los, his) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "los", "his")), strict=True)):
-            own, n = tokens[firsts[i] : firsts[i + 1]], firsts[i + 1] - firsts[i]
-            at = chars[bounds[i]]
-            for lo, hi in zip(los, his, strict=True):
-                a, b = min(lo, n), min(hi, n)
-                words = word_first[i] + np.arange(a, b)
-                out["doc"].append(doc)
-                out["lo"].append(lo)
-                out["hi"].append(hi)
-                out["tokens"].append(own[a:b].tobytes())
-                out["starts"].append((chars[starts[words]] - at).astype(np.int32).tobytes())
-                out["ends"].append((chars[ends[words + SHINGLE - 1]] - at).astype(np.int32).tobytes())
-        kinds = {"doc": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "tokens": pa.binary(), "starts": pa.binary(), "ends": pa.binary()}
+        out = {c: [] for c in kinds}
+
+        def add(**values):
+            for c in kinds:
+                out[c].append(values.get(c))
+
+        for i, (doc, variant, key, asks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "variant", "text_key", "asks")), strict=True)):
+            own, n = tokens[firsts[i] : firsts[i + 1]], int(firsts[i + 1] - firsts[i])
+            at, joined = chars[bounds[i]], []
+            for a in sorted(asks, key=lambda a: a["lo"]):
+                lo, hi = min(a["lo"], n), min(a["hi"], n)
+                if a["side"] == 0:
+                    if joined and lo <= joined[-1][1]:
+                        joined[-1][1], joined[-1][2] = max(joined[-1][1], hi), max(joined[-1][2], a["salt"])
+                    else:
+                        joined.append([lo, hi, a["salt"]])
+                    continue
+                words = word_first[i] + np.arange(lo, hi)
+                first = (chars[starts[words]] - at).astype(np.int32)
+                last = (chars[ends[words + SHINGLE - 1]] - at).astype(np.int32)
+                add(o_doc=a["o_doc"], o_variant=a["o_variant"], salt=a["salt"], side=1, doc=doc, variant=variant, text_key=key, lo=lo, o_lo=a["o_lo"], o_hi=a["o_hi"], tokens=_short(own[lo:hi]), starts=np.diff(first, prepend=np.int32(0)).tobytes(), ends=(last - first).tobytes())
+            for lo, hi, salts in joined:
+                for salt in range(salts):
+                    add(o_doc=doc, o_variant=variant, salt=salt, side=0, lo=lo, tokens=_short(own[lo:hi]))
         yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
@@ -277,84 +408,118 @@ def similar_stretches(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, floa
     return out
 
 
+_FOUND = "doc_id bigint, text_key bigint, other_doc_id bigint, start bigint, end bigint, n_words bigint, similarity double"
+
+
+def _found_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {f.split()[0]: pa.float64() if f.endswith("double") else pa.int64() for f in _FOUND.split(", ")}
+    return pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in zip(kinds, zip(*rows, strict=True) if rows else [[]] * len(kinds), strict=True)})
+
+
 def _verified(batches):
+    """Rows sorted by earlier document, salt and side: its regions, then those of the later documents."""
+    owner, known = None, []
     for batch in batches:
         rows = []
-        for doc, o_doc, lo, a, starts, ends, b in zip(*(batch.column(c).to_pylist() for c in ("doc", "o_doc", "lo", "tokens", "starts", "ends", "o_tokens")), strict=True):
-            starts, ends = np.frombuffer(starts, np.int32), np.frombuffer(ends, np.int32)
-            for i, j, similarity in similar_stretches(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)):
-                rows.append((doc, o_doc, int(starts[i]), int(ends[j - 1]), j - i + SHINGLE - 1, similarity, lo + i, lo + j))
-        doc, o_doc, start, end, words, similarity, first, last = zip(*rows, strict=True) if rows else [[]] * 8
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "other_doc_id": pa.array(o_doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()), "n_words": pa.array(words, pa.int64()), "similarity": pa.array(similarity, pa.float64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
-
-
-def stretches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The passages within pairs of regions, with their first token and the one after the last."""
+        for o_doc, o_variant, salt, side, doc, key, lo, o_lo, o_hi, tokens, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("o_doc", "o_variant", "salt", "side", "doc", "text_key", "lo", "o_lo", "o_hi", "tokens", "starts", "ends")), strict=True):
+            if owner != (o_doc, o_variant, salt):
+                owner, known = (o_doc, o_variant, salt), []
+            tokens = np.frombuffer(tokens, np.uint32)
+            if side == 0:
+                known.append((lo, tokens))
+                continue
+            first = np.cumsum(np.frombuffer(starts, np.int32))
+            last = first + np.frombuffer(ends, np.int32)
+            for at, other in known:
+                if at <= o_lo < at + len(other):
+                    for i, j, similarity in similar_stretches(tokens, other[o_lo - at : o_hi - at]):
+                        rows.append((doc, key, o_doc, int(first[i]), int(last[j - 1]), j - i + SHINGLE - 1, similarity))
+        yield _found_rows(rows)
+
+
+def stretches(docs: DataFrame, pairs: DataFrame, n_parts: int) -> DataFrame:
+    """The passages within pairs of regions. An earlier document with many pairs is dealt to several tasks."""
     spark = docs.sparkSession
     pairs, pairs_path = written(pairs, "passage-pairs")
-    wanted = pairs.select("doc", "lo", "hi").union(pairs.select("o_doc", "o_lo", "o_hi")).distinct().groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    regions, regions_path = written(docs.join(wanted, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "los", "his").mapInArrow(_regions, "doc bigint, lo bigint, hi bigint, tokens binary, starts binary, ends binary"), "passage-regions")
-    other = regions.select(F.col("doc").alias("o_doc"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("tokens").alias("o_tokens"))
-    both = pairs.join(regions, ["doc", "lo", "hi"]).join(other, ["o_doc", "o_lo", "o_hi"])
-    fields = "doc_id bigint, other_doc_id bigint, start bigint, end bigint, n_words bigint, similarity double, first bigint, last bigint"
-    found, _ = written(both.select("doc", "o_doc", "lo", "tokens", "starts", "ends", "o_tokens").mapInArrow(_verified, fields).distinct(), "passages")
-    discard(spark, pairs_path, regions_path)
+    salts = pairs.groupBy("o_doc", "o_variant").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
+    salted = pairs.join(salts, ["o_doc", "o_variant"])
+    later = salted.select("doc", "variant", F.lit(1).alias("side"), "o_doc", "o_variant", "lo", "hi", "o_lo", "o_hi", F.expr("pmod(hash(doc, variant, lo), salts)").alias("salt"))
+    earlier = salted.select("o_doc", "o_variant", "o_lo", "o_hi", "salts").distinct().select(F.col("o_doc").alias("doc"), F.col("o_variant").alias("variant"), F.lit(0).alias("side"), "o_doc", "o_variant", F.col("o_lo").alias("lo"), F.col("o_hi").alias("hi"), "o_lo", "o_hi", F.col("salts").alias("salt"))
+    asks, asks_path = written(later.unionByName(earlier), "passage-asks")
+    fields = ["side", "o_doc", "o_variant", "lo", "hi", "o_lo", "o_hi", "salt"]
+    few = asks.limit(BROADCAST_ASKS + 1).count() <= BROADCAST_ASKS
+    grouped = asks.groupBy(F.col("doc").alias("doc_id"), "variant").agg(F.collect_list(F.struct(*fields)).alias("asks"))  # as many as a text has regions
+    read = docs.join(F.broadcast(grouped) if few else grouped, ["doc_id", "variant"]).select("doc_id", "variant", F.xxhash64("text").alias("text_key"), "asks", "text").mapInArrow(_regions, _REGIONS)
+    met = read.repartition(n_parts, "o_doc", "o_variant", "salt").sortWithinPartitions("o_doc", "o_variant", "salt", "side")
+    found, _ = written(met.mapInArrow(_verified, _FOUND).distinct(), "passages")
+    discard(spark, pairs_path, asks_path)
     return found
 
 
-def _verified_windows(links: DataFrame, found: DataFrame) -> DataFrame:
-    """doc, k and c of the windows whose minimum is in a passage with a document they are linked to."""
-    inside = (F.col("doc") == F.col("doc_id")) & (F.col("o_doc") == F.col("other_doc_id")) & (F.col("c") >= F.col("first")) & (F.col("c") < F.col("last"))
-    return links.join(found, inside, "left_semi").select("doc", "k", "c").distinct()
+#: rows of regions asked for that are broadcast to the texts; more are joined by a shuffle
+BROADCAST_ASKS = 2_000_000
 
 
-def further_passages(docs: DataFrame, links: DataFrame, found: DataFrame) -> list[DataFrame]:
-    """Passages of windows that no passage with the linked document explains. They are linked to the next windows of their signature in earlier documents,
-    twice as many in each round, until they are verified or have met them all. Evidence for a pair is that of all rounds."""
+def _whole(batches):
+    """The one passage of a copy: from its first word to its last."""
+    for batch in slices(batches, BATCH_BYTES):
+        data, bounds = text_bytes(batch.column("text"))
+        _, rows, starts, ends = word_hashes(data, bounds)
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        first, n = np.searchsorted(rows, np.arange(batch.num_rows)), np.bincount(rows, minlength=batch.num_rows)
+        found = []
+        for i, (doc, key, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "copy_of")), strict=True)):
+            if n[i] >= TOKENS + SHINGLE - 1:
+                found.append((doc, key, other, int(chars[starts[first[i]]] - chars[bounds[i]]), int(chars[ends[first[i] + n[i] - 1]] - chars[bounds[i]]), int(n[i]), 1.0))
+        yield _found_rows(found)
+
+
+def _marked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with variant (0, or from 1 for further texts of one doc_id) and copy_of (the least doc_id with the very text, if that is another one); and the texts' bytes."""
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.hash("text").alias("also"), F.octet_length("text").alias("size"))
+    narrow, _ = written(narrow.groupBy("doc_id", "text_key", "also").agg(F.sum("size").alias("size")), "passage-texts")
+    total = narrow.agg(F.sum("size")).first()[0] or 0
+    first = narrow.groupBy("text_key", "also").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = narrow.join(first, ["text_key", "also"]).where("doc_id <> first").select("doc_id", "text_key", "also", F.lit(0).alias("variant"), F.col("first").alias("copy_of"))
+    several = narrow.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text_key", "also")) - 1
+    variants = narrow.join(several, "doc_id").select("doc_id", "text_key", "also", place.alias("variant"), F.lit(None).cast("bigint").alias("copy_of")).where("variant > 0")
+    marks, _ = written(copies.unionByName(variants).groupBy("doc_id", "text_key", "also").agg(F.max("variant").alias("variant"), F.max("copy_of").alias("copy_of")), "passage-marks")
+    marks = marks.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("also").alias("_also"), F.col("variant").alias("_variant"), "copy_of")
+    same = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_key")) & (F.hash("text") == F.col("_also"))
+    return docs.join(small(marks), same, "left").select("doc_id", "text", F.coalesce("_variant", F.lit(0)).alias("variant"), "copy_of"), total
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """near_duplicate_passages with text_key, the hash of the text that the passage is in."""
     spark = docs.sparkSession
-    every = links.select("sig", "doc", "k", "c", "l", "r").union(links.select("sig", "o_doc", "k", "o_c", "o_l", "o_r")).distinct()
-    left, left_path = written(links.where("doc <> o_doc").join(_verified_windows(links, found), ["doc", "k", "c"], "left_anti").select("sig", "doc", "k", "c", "l", "r"), "passage-left")
-    own = every.join(left.select("sig").distinct(), "sig", "left_semi")
-    place = (F.row_number().over(Window.partitionBy("sig").orderBy("doc", "c")) - 1).alias("place")
-    ranked, ranked_path = written(own.select("sig", F.col("doc").alias("o_doc"), F.col("c").alias("o_c"), F.col("l").alias("o_l"), F.col("r").alias("o_r"), place), "passage-places")
-    out, tried, paths, start, n = [], links.select("sig", *_LINK_NAMES), [ranked_path], 0, 1
-    while True:
-        owners = ranked.where((F.col("place") >= start) & (F.col("place") < start + n))
-        new, path = written(left.join(owners, "sig").where("o_doc < doc").select("sig", *_LINK_NAMES), "passage-links")
-        paths.append(path)
-        if new.isEmpty():
-            break
-        tried = tried.union(new)
-        evidence, evidence_path = written(tried.join(new.select("doc", "o_doc").distinct(), ["doc", "o_doc"], "left_semi").select("sig", *_LINK_NAMES).distinct(), "passage-evidence")
-        out.append(stretches(docs, candidates(evidence)))
-        after, after_path = written(left.join(_verified_windows(evidence, out[-1]), ["doc", "k", "c"], "left_anti"), "passage-left")
-        discard(spark, left_path, evidence_path)
-        left, left_path, start, n = after, after_path, start + n, 2 * n
-    discard(spark, left_path, *paths)
-    return out
+    marked, total = _marked(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(total // PART_BYTES, MOST_PARTS))
+    own = marked.where("copy_of is null").drop("copy_of")
+    found = stretches(own, candidates(own, n_parts), n_parts)
+    whole = marked.where("copy_of is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "copy_of", "text").mapInArrow(_whole, _FOUND).distinct()
+    return found.unionByName(whole)
 
 
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:
     """Passages that an earlier document (by doc_id) has nearly alike: doc_id, other_doc_id, start, end (code points), n_words, similarity.
 
     A passage has 50 words or more. Each is listed with the earlier documents that its signatures lead to, not with all that have it; the
-    earliest document of a passage has no row for it. Repetitions within one document are not listed. Null and short texts have no passages; rows
-    without doc_id are left out; rows with one doc_id count as one document. Empty tables give no rows. Other columns are not read.
+    earliest document of a passage has no row for it. A text that an earlier document has as well has one row, for all of it. Repetitions within one
+    document are not listed. Null and short texts have no passages; rows without doc_id are left out. Equal rows count as one; different texts of one
+    doc_id are different documents, in the order of their hashes. Empty tables give no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    links, links_path = written(window_links(docs), "passage-links")
-    found = stretches(docs, candidates(links))
-    for more in further_passages(docs, links, found):
-        found = found.union(more)
-    discard(spark, links_path)
-    return found.drop("first", "last").distinct()
+    return _passages(docs).drop("text_key").distinct()
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
-    """docs with the passages cut from all documents but the earliest one, and n_chars (if there) of what is left. Rows and columns stay."""
-    found = near_duplicate_passages(docs)
-    spans, _ = written(found.groupBy(F.col("doc_id").alias("_passage_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")), "passage-spans")
+    """docs with the passages cut from all documents but the earliest one, and n_chars (if there) of what is left. Rows and columns stay.
+
+    Rows are told apart by doc_id and text, so rows with one doc_id and other texts are cut at their own passages only.
+    """
+    flat, _ = written(_passages(docs).select("doc_id", "text_key", "start", "end").distinct(), "passage-spans")
+    few = flat.limit(BROADCAST_SPANS + 1).count() <= BROADCAST_SPANS
+    spans = flat.groupBy(F.col("doc_id").alias("_passage_doc"), F.col("text_key").alias("_passage_text")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     # what is left between the ends so far and each span's start
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # its columns may have any names
     text = F.col("_row.text")
@@ -366,10 +531,15 @@ def without_passages(docs: DataFrame) -> DataFrame:
             F.when(s["start"] > acc["at"], F.concat(acc["kept"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))).otherwise(acc["kept"]).alias("kept"),
         ),
     )
-    joined = row.join(small(spans, 100_000), F.col("_row.doc_id").cast("bigint") == F.col("_passage_doc"), "left")
+    same = (F.col("_row.doc_id").cast("bigint") == F.col("_passage_doc")) & (F.xxhash64(text) == F.col("_passage_text"))
+    joined = row.join(F.broadcast(spans) if few else spans, same, "left")
     left = joined.withColumn("_walked", F.when(F.col("_spans").isNotNull(), walked))
     new = {"text": F.when(F.col("_spans").isNull(), text).otherwise(F.concat(F.col("_walked.kept"), F.substr(text, (F.col("_walked.at") + 1).cast("int"))))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_spans").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast("bigint"))
     left = left.withColumn("_text", new["text"])
     return left.select(*[(F.col("_text") if c == "text" else new.get(c, F.col(f"_row.`{c}`"))).alias(c) for c in docs.columns])
+
+
+#: rows of spans (24 bytes) that are broadcast to the texts; more are joined by a shuffle
+BROADCAST_SPANS = 1_000_000
