@@ -3,8 +3,10 @@ r"""Operator 9: quality rules with adaptive thresholds, in DataFrame functions o
 Measures are whole numbers (per mille, or hundredths of a code point), so that the counts per value and group are
 a mergeable quantile sketch of fixed resolution: partial counts of any rows add up, and its size per group is
 bounded by the number of values (1,001 a rate; word lengths end in one open bin). A document is rejected if a
-measure lies beyond its group's fence, q75 + max(reach x (q75 - q25), slack) or, for word length, below the
-mirrored one. The group is (lang, source) where it has min_docs documents, else lang, else all documents.
+measure lies beyond its group's fence. The fence is the group's tail quantile q, moved outwards by reach x (q - median); a floor
+keeps it off q where most values are ties (as of rates that are 0 in nine of ten documents). It lies at most ``WIDER`` times as far from the
+group's median as the fence of all documents lies from theirs, so that a source full of junk does not switch its rules off. The
+group is (lang, source) where it has min_docs documents, else lang, else all documents.
 """
 
 from __future__ import annotations
@@ -17,9 +19,17 @@ from .shared import written
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 8
-#: measure: (slack upwards, slack downwards or None), in the measure's unit
-MEASURES = {"symbol_rate": (30, None), "dup_line_rate": (400, None), "repeat_rate": (250, None), "echo_rate": (100, None), "capital_rate": (250, None), "mark_rate": (60, None), "mean_word": (300, 250)}
-REACH = 4
+#: measure: (tail quantile in per mille, reach, floor upwards, floor downwards or None: no lower fence), floors in the measure's unit
+MEASURES = {
+    "symbol_rate": (900, 4, 30, None),
+    "dup_line_rate": (990, 2, 100, None),
+    "repeat_rate": (990, 2, 50, None),
+    "echo_rate": (900, 4, 5, None),
+    "capital_rate": (900, 4, 5, None),
+    "mark_rate": (900, 4, 20, None),
+    "mean_word": (900, 4, 20, 20),
+}
+WIDER = 2
 MIN_DOCS = 200
 TOP_WORD = 4000
 
@@ -83,10 +93,10 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def fences(measured: DataFrame, reach: int = REACH) -> DataFrame:
-    """Per level (2: lang and source, 1: lang, 0: all), lang and source: n_docs and the fences of each measure as a struct.
+def fences(measured: DataFrame) -> DataFrame:
+    """Per level (2: lang and source, 1: lang, 0: all), lang and source: n_docs and the fences of each measure as a struct (most, least, by_floor).
 
-    Only documents that pass the base rules count. The first aggregation has one row per group and value.
+    Only documents that pass the base rules count. The first aggregation has one row per group and value. by_floor tells that the floor set most.
     """
     values = F.expr("stack(" + str(len(MEASURES)) + ", " + ", ".join(f"'{m}', {m}" for m in MEASURES) + ") as (measure, value)")
     sketch = measured.where(~F.col("base_failed")).select("lang", "source", values).groupBy("lang", "source", "measure", "value").agg(F.count("*").alias("n"))
@@ -94,27 +104,29 @@ def fences(measured: DataFrame, reach: int = REACH) -> DataFrame:
     merged = sketch.select("measure", "value", "n", levels).groupBy("at", "measure", "value").agg(F.sum("n").alias("n"))
     # the values of one group and measure: a bounded number (see above), whatever the number of documents
     ranked = merged.groupBy("at", "measure").agg(F.sum("n").alias("n_docs"), F.array_sort(F.collect_list(F.struct("value", "n"))).alias("counts"))
+    of = lambda i: F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[i]).cast("int"))])[F.col("measure")]
 
-    def quantile(q: int) -> Column:
-        """The least value at which q quarters of the documents are reached."""
-        need = F.expr(f"(n_docs * {q} + 3) div 4")
+    def quantile(per_mille: Column) -> Column:
+        """The least value that so many documents, rounded up, do not exceed."""
+        need = F.floor((F.col("n_docs") * per_mille + 999) / 1000)
         start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("value"))
         return F.aggregate("counts", start, lambda a, c: F.struct((a["seen"] + c["n"]).alias("seen"), F.when(a["value"].isNull() & (a["seen"] + c["n"] >= need), c["value"]).otherwise(a["value"]).alias("value")))["value"]
 
-    quartiles = ranked.select("at", "measure", "n_docs", quantile(1).alias("q1"), quantile(3).alias("q3"))
-    up = F.create_map(*[x for m, (u, _) in MEASURES.items() for x in (F.lit(m), F.lit(u))])[F.col("measure")]
-    down = F.create_map(*[x for m, (_, d) in MEASURES.items() for x in (F.lit(m), F.lit(d).cast("int"))])[F.col("measure")]
-    spread = reach * (F.col("q3") - F.col("q1"))
-    fence = F.struct((F.col("q3") + F.greatest(spread, up)).alias("most"), F.when(down.isNotNull(), F.col("q1") - F.greatest(spread, down)).alias("least"))
-    return quartiles.groupBy("at").agg(F.max("n_docs").alias("n_docs"), F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("fence")).select("at.level", "at.lang", "at.source", "n_docs", "fence")
+    points = ranked.select("at", "measure", "n_docs", quantile(1000 - of(0)).alias("low"), quantile(F.lit(500)).alias("median"), quantile(of(0)).alias("high"))
+    up, down = of(1) * (F.col("high") - F.col("median")), of(1) * (F.col("median") - F.col("low"))
+    raw = points.select("*", (F.col("high") + F.greatest(up, of(2))).alias("most"), F.when(of(3).isNotNull(), F.col("low") - F.greatest(down, of(3))).alias("least"), (up < of(2)).alias("by_floor"))
+    every = raw.where("at.level = 0").select("measure", (WIDER * (F.col("most") - F.col("median"))).alias("farthest"), (WIDER * (F.col("median") - F.col("least"))).alias("farthest_down"))
+    bounded = raw.join(F.broadcast(every), "measure")  # a row a measure
+    fence = F.struct(F.least("most", F.col("median") + F.col("farthest")).alias("most"), F.greatest("least", F.col("median") - F.col("farthest_down")).alias("least"), "by_floor")
+    return bounded.groupBy("at").agg(F.max("n_docs").alias("n_docs"), F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("fence")).select("at.level", "at.lang", "at.source", "n_docs", "fence")
 
 
-def judge(measured: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
+def judge(measured: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """measured with kept: the base rules hold and no measure is beyond its group's fence.
 
     measured is read twice; hand over a written table.
     """
-    found = fences(measured, reach).where((F.col("n_docs") >= min_docs) | (F.col("level") == 0))
+    found = fences(measured).where((F.col("n_docs") >= min_docs) | (F.col("level") == 0))
     level = lambda n, *keys: found.where(F.col("level") == n).select(*keys, F.col("fence").alias(f"fence{n}"))
     joined = measured.join(level(2, "lang", "source"), ["lang", "source"], "left").join(level(1, "lang"), ["lang"], "left").join(F.broadcast(level(0)), F.lit(True), "left")
     fence = F.coalesce("fence2", "fence1", "fence0")
@@ -124,7 +136,7 @@ def judge(measured: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) ->
     return joined.withColumn("fence", fence).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).select(*measured.columns, "kept")
 
 
-def judged_documents(docs: DataFrame, reach: int = REACH, min_docs: int = MIN_DOCS) -> DataFrame:
+def judged_documents(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The measures and the verdict of every document. An empty table gives no rows."""
     measured, _ = written(measure(docs), "quality-rules")
-    return judge(measured, reach, min_docs)
+    return judge(measured, min_docs)

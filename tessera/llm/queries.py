@@ -130,15 +130,21 @@ WITH d AS (
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY value) AS k,
     count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM levels
-), quartiles AS (
-  SELECT level, lang, source, measure, any_value(n) AS n,
-    min(value) FILTER (k >= (n + 3) // 4) AS q1, min(value) FILTER (k >= (n * 3 + 3) // 4) AS q3
-  FROM ranked GROUP BY ALL
+), settings(measure, tail, reach, up, down) AS (
+  VALUES ('symbol_rate', 900, 4, 30, NULL), ('dup_line_rate', 990, 2, 100, NULL), ('repeat_rate', 990, 2, 50, NULL), ('echo_rate', 900, 4, 5, NULL),
+    ('capital_rate', 900, 4, 5, NULL), ('mark_rate', 900, 4, 20, NULL), ('mean_word', 900, 4, 20, 20)
+), points AS (
+  SELECT level, lang, source, measure, any_value(n) AS n, any_value(reach) AS reach, any_value(up) AS up, any_value(down) AS down,
+    min(value) FILTER (k >= (n * (1000 - tail) + 999) // 1000) AS low, min(value) FILTER (k >= (n * 500 + 999) // 1000) AS median,
+    min(value) FILTER (k >= (n * tail + 999) // 1000) AS high
+  FROM ranked JOIN settings USING (measure) GROUP BY level, lang, source, measure
+), raw AS (
+  SELECT *, high + greatest(reach * (high - median), up) AS raw_most,
+    CASE WHEN down IS NOT NULL THEN low - greatest(reach * (median - low), down) END AS raw_least FROM points
 ), fences AS (
-  SELECT q.level, q.lang, q.source, measure, q3 + greatest(4 * (q3 - q1), up) AS most, q1 - greatest(4 * (q3 - q1), down) AS least
-  FROM quartiles q JOIN (VALUES ('symbol_rate', 30, NULL), ('dup_line_rate', 400, NULL), ('repeat_rate', 250, NULL), ('echo_rate', 100, NULL),
-    ('capital_rate', 250, NULL), ('mark_rate', 60, NULL), ('mean_word', 300, 250)) s(measure, up, down) USING (measure)
-  WHERE n >= 200 OR level = 0
+  SELECT r.level, r.lang, r.source, r.measure, least(r.raw_most, r.median + 2 * (a.raw_most - a.median)) AS most,
+    CASE WHEN r.down IS NOT NULL THEN greatest(r.raw_least, r.median - 2 * (a.median - a.raw_least)) END AS least
+  FROM raw r JOIN raw a ON a.measure = r.measure AND a.level = 0 WHERE r.n >= 200 OR r.level = 0
 ), chosen AS (
   SELECT lang, source, max(level) AS level FROM (
     SELECT DISTINCT v.lang, v.source, f.level FROM v JOIN fences f
