@@ -1,76 +1,147 @@
 """Operator 3: quality by the perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's symbols are 64 classes of bytes (``CLASSES``), its order is 4, so that a gram is 24 bits and no table of the model can have more than
-2^24 entries, however large the corpus is. All trusted texts are counted: each scan partition sends its distinct grams with their counts, which are
-summed in shards by gram. Continuation counts, context totals and counts of counts are aggregations and joins of these shards (gram with context, gram
-with its suffix), and end in the interpolated terms of each seen gram and the back-off weight of each context. The finished tables, bounded as said, are
-broadcast to score every text. Per language, the threshold is a high quantile of the trusted texts' perplexity, from counts per value that merge.
+The model is over bytes, of order ``ORDER``, with an open vocabulary of grams: its tables grow with the text, live in shards and are never gathered in one place.
+Everything is sharded by the two bytes before a gram's last one, so that a gram, its suffixes and their contexts (of order 3 or more) meet in one shard. Only
+orders 1 and 2 are shared by shards: 65,536 numbers at most, which are broadcast.
+
+1. Counts: each scan partition sends the distinct grams of its trusted texts with their counts, in blobs of sorted differences; shards add them, count
+   continuations for the lower orders, and say how many grams have counts 1 to 4 (for the discounts).
+2. Blocks: all texts are written once, a few dozen megabytes in a row, in buckets by block.
+3. Count joins: each block sends its distinct grams to the shards, where they are joined with the tables of all orders; the logarithms of their probabilities
+   come back to the block, in the order in which the grams were sent.
+4. Each document's perplexity is the sum over its grams. Per language, the threshold is a high quantile of the trusted texts' perplexity, from counts per
+   value that merge.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, text_bytes, written
+from .shared import shared_dir, slices, text_bytes, written
 
-ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
+ORDER = 5
 QUANTILE_PER_MILLE = 995
 SLACK = 20  # thousandths of the logarithm
 MIN_DOCS = 100
 BROADCAST_IDS = 2_000_000
-BATCH_BYTES = 4 << 20
-
-
-def _classes() -> np.ndarray:
-    """0 ends a text; 1 space, 2 other white space, 3 digits, 4 capitals, 5-30 letters, 31-52 marks, 53 other ASCII, 54-55 first bytes beyond ASCII, 56-63 further bytes."""
-    classes = np.full(256, 53, np.uint8)
-    classes[32], classes[9:14] = 1, 2
-    classes[48:58], classes[65:91] = 3, 4
-    classes[97:123] = np.arange(5, 31)
-    for i, mark in enumerate(b".,'\"-:;!?()|#*$%&/<>=_"):
-        classes[mark] = 31 + i
-    classes[0xC0:0xE0], classes[0xE0:] = 54, 55
-    classes[0x80:0xC0] = 56 + np.arange(64) % 8
-    return classes
-
-
-CLASSES = _classes()
+BATCH_BYTES = 2 << 20
+#: bytes of text in a block and documents in a batch of it, whose numbers take the bits that a gram leaves
+BLOCK_BYTES, DOCS = 32 << 20, 1 << 16
+MERGE = 3_000_000
+_COUNTS = "shard int, kind int, gram bigint, n bigint, data binary"
 
 
 def grams_of(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The gram that ends at each byte; before a text there are end symbols."""
-    symbols = CLASSES[data].astype(np.int32)
+    """The gram that ends at each byte, its last byte lowest; before a text there are zero bytes."""
+    symbols = data.astype(np.uint64)
     grams = symbols.copy()
     place = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for back in range(1, ORDER):
-        grams[back:] |= np.where(place[back:] >= back, symbols[:-back] << (BITS * back), 0)
+    for back in range(1, min(ORDER, len(data))):
+        grams[back:] |= np.where(place[back:] >= back, symbols[:-back] << np.uint64(8 * back), np.uint64(0))
     return grams
 
 
+def shard_of(grams: np.ndarray, n_shards: int) -> np.ndarray:
+    return (((grams >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B1) % np.uint64(1 << 32) % np.uint64(n_shards)).astype(np.int32)
+
+
+def packed(grams: np.ndarray, *others: np.ndarray) -> bytes:
+    """Sorted grams as differences, compressed, with further arrays; read by unpacked."""
+    parts = [np.diff(grams, prepend=np.uint64(0)), *others]
+    shuffled = b"".join(p.view(np.uint8).reshape(len(p), p.dtype.itemsize).T.tobytes() for p in parts)  # bytes of one rank together
+    return zstandard.compress(shuffled, 1)
+
+
+def unpacked(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(data), 0, []
+    for kind in ("u8", *kinds):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind)[:, 0])
+        at += n * size
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and their summed counts."""
+    grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(grams), 1), bool), grams[1:] != grams[:-1]]))
+    return grams[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def _by_shard(grams: np.ndarray, n_shards: int):
+    """(shard, places) of sorted grams, whose order stays."""
+    shard = shard_of(grams, n_shards)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
+    return [(s, order[cuts[s] : cuts[s + 1]]) for s in range(n_shards) if cuts[s] < cuts[s + 1]]
+
+
+def _batch(kinds: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    names = [f.split() for f in kinds.split(", ")]
+    return pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], types[kind]) for i, (name, kind) in enumerate(names)})
+
+
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with doc_id, lang, text whose label says good quality. The labels are broadcast only up to BROADCAST_IDS of them."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    return docs.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, "doc_id", "left_semi")
+    return docs.join(F.broadcast(good) if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else good, "doc_id", "left_semi")
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """gram and n over all texts."""
+def count_grams(docs: DataFrame, n_shards: int) -> DataFrame:
+    """Rows of shards: their grams of order ORDER with counts in a blob (kind 0); of each lower order and count from 1 to 4 how many grams have it
+    (kind order, gram: the count); and of the pairs of last bytes in how many grams of order 3 they are (kind -1)."""
 
-    def run(batches):
-        total = np.zeros(1 << (BITS * ORDER), np.int64)
+    def send(batches):
+        kept = []
         for batch in slices(batches, BATCH_BYTES):
-            data, bounds = text_bytes(batch.column("text"))
-            counts = np.bincount(grams_of(data, bounds))
-            total[: len(counts)] += counts
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(seen.astype(np.int32)), "n": pa.array(total[seen])})
-
-    return docs.select("text").mapInArrow(run, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+            grams, counts = np.unique(grams_of(*text_bytes(batch.column("text"))), return_counts=True)
+            kept.append((grams, counts))
+            if sum(len(g) for g, _ in kept) > MERGE:
+                kept = [_counted(kept)]
+                if len(kept[0][0]) > MERGE // 2:
+                    yield rows(*kept.pop())
+        if kept:
+            yield rows(*_counted(kept))
+
+    def rows(grams, counts):
+        return _batch(_COUNTS, [(s, 0, 0, len(at), packed(grams[at], counts[at].astype(np.int64))) for s, at in _by_shard(grams, n_shards)])
+
+    def add(batches):
+        blobs: dict[int, list] = {}
+        for batch in batches:
+            for shard, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "data")), strict=True):
+                blobs.setdefault(shard, []).append(tuple(unpacked(data, n, "i8")))
+                if len(blobs[shard]) >= 16:
+                    blobs[shard] = [_counted(blobs[shard])]
+        for shard, parts in blobs.items():
+            grams, counts = _counted(parts)
+            out = [(shard, 0, 0, len(grams), packed(grams, counts))]
+            for order, (_, n) in zip(range(ORDER, 2, -1), lower_orders(grams, counts), strict=True):
+                out += [(shard, order, i, int((n == i).sum()), None) for i in range(1, 5)]
+            pairs, n = np.unique(np.unique(grams & np.uint64(0xFFFFFF)) & np.uint64(0xFFFF), return_counts=True)
+            out += [(shard, -1, int(p), int(k), None) for p, k in zip(pairs, n, strict=True)]
+            yield _batch(_COUNTS, out)
+
+    return docs.select("text").mapInArrow(send, _COUNTS).repartitionById(n_shards, F.col("shard")).mapInArrow(add, _COUNTS)
+
+
+def lower_orders(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams (sorted) and counts of orders ORDER down to 3: those of lower orders are continuation counts, of distinct symbols before."""
+    out = [(grams, counts)]
+    for order in range(ORDER - 1, 2, -1):
+        out.append(tuple(x.astype(kind) for x, kind in zip(np.unique(out[-1][0] & np.uint64((1 << 8 * order) - 1), return_counts=True), ("u8", "i8"), strict=True)))
+    return out
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -81,65 +152,164 @@ def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i - 0.05) for i, d in zip((1, 2, 3), raw, strict=True))
 
 
-def model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From gram counts: the seen grams and their interpolated terms, the back-off weight of each context, and the next lower order's probability of each suffix."""
-    tables = [counts]
-    for order in range(ORDER - 1, 0, -1):  # distinct symbols before: continuation counts
-        tables.append(tables[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("gram")).agg(F.count("*").alias("n")))
-    lower = np.full(1, 1 / SYMBOLS)  # of order 0
-    for order, table in zip(range(1, ORDER + 1), reversed(tables), strict=True):
-        shards, _ = written(table, f"grams-{order}")
-        d1, d2, d3 = discounts({r.n: r["count"] for r in shards.where("n <= 4").groupBy("n").count().collect()})
-        keyed = shards.withColumn("context", F.shiftright("gram", BITS))
-        many = lambda test: F.sum(F.when(test, 1).otherwise(0))
-        contexts = keyed.groupBy("context").agg(F.sum("n").alias("total"), many(F.col("n") == 1).alias("n1"), many(F.col("n") == 2).alias("n2"), many(F.col("n") > 2).alias("n3"))
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        terms = keyed.join(contexts, "context").select("gram", ((F.col("n") - discount) / F.col("total")).alias("term"))
-        back = contexts.select("context", ((d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("total")).alias("weight"))
-        seen, terms = (lambda t: (t["gram"].to_numpy(), t["term"].to_numpy()))(terms.toArrow())
-        weights = np.ones(1 << BITS * (order - 1))
-        found = back.toArrow()
-        weights[found["context"].to_numpy()] = found["weight"].to_numpy()
-        if order == ORDER:
-            return seen, terms, weights, lower
-        full = np.tile(lower, SYMBOLS) if order > 1 else np.full(SYMBOLS, lower[0])
-        full = full[: 1 << BITS * order] * np.repeat(weights, SYMBOLS)
-        full[seen] += terms
-        lower = full
-    raise AssertionError
-
-
-_dense: tuple[int, np.ndarray] | None = None
-
-
-def log_probabilities(seen, terms, weights, lower) -> np.ndarray:
-    """Per gram, in float32: 64 MB."""
-    size = len(weights) * SYMBOLS
-    out = np.empty(size, np.float32)
-    step = len(lower)
-    for start in range(0, size, step):  # the suffix runs through lower once in each step
-        out[start : start + step] = lower * np.repeat(weights[start // SYMBOLS : (start + step) // SYMBOLS], SYMBOLS)
-    out[seen] += terms.astype(np.float32)
-    return np.log(out, out=out)
-
-
-def perplexities(docs: DataFrame, tables: tuple) -> DataFrame:
-    """Per document: doc_id, lang, n_bytes, log_ppl (the mean negative log probability; null for empty texts)."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+def interpolated(grams: np.ndarray, counts: np.ndarray, d: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of grams (sorted) of one order with their counts: the terms, and the contexts (sorted) with their back-off weights."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(grams), 1), bool), grams[1:] >> np.uint64(8) != grams[:-1] >> np.uint64(8)]))
+    if not len(first):
+        return np.zeros(0), grams, np.zeros(0)
+    discount = np.array([0.0, *d])[np.minimum(counts, 3)]
+    totals = np.add.reduceat(counts, first)
+    terms = (counts - discount) / np.repeat(totals, np.diff(np.append(first, len(grams))))
+    return terms, grams[first] >> np.uint64(8), np.add.reduceat(discount, first) / totals
+
+
+def pair_probabilities(pairs: np.ndarray, ns: np.ndarray) -> np.ndarray:
+    """P(last byte | byte before), by pair: orders 2 and 1, from the continuation counts of pairs."""
+    order = np.argsort(pairs)
+    pairs, ns = pairs[order].astype(np.uint64), ns[order].astype(np.int64)
+    lower = np.full(256, 1 / 256)
+    singles, n1 = np.unique(pairs & np.uint64(0xFF), return_counts=True)
+    for grams, counts in ((singles.astype(np.uint64), n1.astype(np.int64)), (pairs, ns)):
+        terms, contexts, weights = interpolated(grams, counts, discounts({i: int((counts == i).sum()) for i in range(1, 5)}))
+        back = np.ones(256)
+        back[contexts.astype(np.int64)] = weights
+        table = lower * back[0] if len(lower) == 256 and grams is not pairs else (back[:, None] * lower[None, :]).ravel()
+        table[grams.astype(np.int64)] += terms
+        lower = table
+    return lower
+
+
+def log_probabilities(grams: np.ndarray, tables: list[tuple], pair: np.ndarray) -> np.ndarray:
+    """Of grams of order ORDER; tables: grams, terms, contexts and weights of orders 3 to ORDER."""
+    p = pair[(grams & np.uint64(0xFFFF)).astype(np.int64)]
+    for order, (known, terms, contexts, weights) in zip(range(3, ORDER + 1), tables, strict=True):
+        own = grams & np.uint64((1 << 8 * order) - 1)
+        for keys, at, values, add in ((contexts, own >> np.uint64(8), weights, False), (known, own, terms, True)):
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+                found = keys[place] == at
+                p = p + np.where(found, values[place], 0.0) if add else p * np.where(found, values[place], 1.0)
+    return np.log(p)
+
+
+def model(counts: DataFrame) -> tuple[DataFrame, dict[int, tuple], np.ndarray]:
+    """The shards' blobs, the discounts of orders 3 to ORDER, and the probabilities of pairs: what the driver gets is bounded by 65,536 rows."""
+    some = counts.where("kind <> 0").groupBy("kind", "gram").agg(F.sum("n").alias("n")).collect()
+    by_order = {order: discounts({r.gram: r.n for r in some if r.kind == order}) for order in range(3, ORDER + 1)}
+    pairs = [(r.gram, r.n) for r in some if r.kind == -1]
+    pair = pair_probabilities(np.array([p for p, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64))
+    return counts.where("kind = 0"), by_order, pair
+
+
+_BLOCKS = "block string, n int, data binary, bounds binary, doc_id array<bigint>, lang array<string>"
+
+
+def blocks(docs: DataFrame, n_parts: int) -> str:
+    """The name of a table of all texts, a block in a row, in n_parts buckets by block."""
+    spark = docs.sparkSession
 
     def run(batches):
-        global _dense
-        if _dense is None or _dense[0] != id(shared.value):
-            _dense = id(shared.value), log_probabilities(*shared.value)
-        table = _dense[1]
-        for batch in slices(batches, BATCH_BYTES):
-            data, bounds = text_bytes(batch.column("text"))
-            sums = np.concatenate([[0.0], np.cumsum(table[grams_of(data, bounds)], dtype=np.float64)])
-            n = np.diff(bounds)
-            mean = (sums[bounds[:-1]] - sums[bounds[1:]]) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "n_bytes": pa.array(n.astype(np.int64)), "log_ppl": pa.array(mean, mask=n == 0)})
+        place, at, kept, size = TaskContext.get(), 0, [], 0
+
+        def row():
+            nonlocal at
+            at += 1
+            parts = [text_bytes(b.column("text")) for b in kept]
+            sizes = np.concatenate([np.diff(b) for _, b in parts])
+            data = zstandard.compress(b"".join(d.tobytes() for d, _ in parts), 3)
+            ids, langs = ([x for b in kept for x in b.column(c).to_pylist()] for c in ("doc_id", "lang"))
+            kinds = {"doc_id": pa.list_(pa.int64()), "lang": pa.list_(pa.string())}
+            name = f"{place.partitionId()}-{at}"
+            return pa.RecordBatch.from_pydict({"block": pa.array([name]), "n": pa.array([len(ids)], pa.int32()), "data": pa.array([data], pa.binary()), "bounds": pa.array([np.cumsum(sizes, dtype=np.int64).tobytes()], pa.binary()), "doc_id": pa.array([ids], kinds["doc_id"]), "lang": pa.array([langs], kinds["lang"])})
 
-    return docs.mapInArrow(run, "doc_id bigint, lang string, n_bytes bigint, log_ppl double")
+        for batch in slices(batches, BATCH_BYTES):
+            if kept and size + batch.column("text").nbytes > BLOCK_BYTES:
+                yield row()
+                kept, size = [], 0
+            kept.append(batch)
+            size += batch.column("text").nbytes
+        if kept:
+            yield row()
+
+    name = f"tessera_blocks_{uuid.uuid4().hex}"
+    docs.select("doc_id", "lang", "text").mapInArrow(run, _BLOCKS).write.bucketBy(n_parts, "block").option("path", f"{shared_dir(spark)}/tessera/{name}").option("compression", "uncompressed").saveAsTable(name)
+    return name
+
+
+def _texts(data: bytes, bounds: bytes):
+    """Batches of a block: first document, bytes and bounds, of BATCH_BYTES and DOCS documents at most (a longer text is one)."""
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    ends = np.concatenate([np.zeros(1, np.int64), np.frombuffer(bounds, np.int64)])
+    at = 0
+    while at < len(ends) - 1:
+        upto = max(at + 1, min(at + DOCS, int(np.searchsorted(ends, ends[at] + BATCH_BYTES, "right")) - 1))
+        yield at, raw[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at]
+        at = upto
+
+
+def _distinct(data: bytes, bounds: bytes) -> np.ndarray:
+    parts = [np.unique(grams_of(d, b)) for _, d, b in _texts(data, bounds)]
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+
+
+_ASKED = "shard int, kind int, block string, n int, data binary"
+
+
+def perplexities(docs: DataFrame, counts: DataFrame, n_shards: int) -> tuple[DataFrame, str]:
+    """Per document: doc_id, lang, n_bytes, log_ppl (the mean negative log probability; null for empty texts); and the table of blocks, to be dropped when it is read."""
+    spark = docs.sparkSession
+    shards, by_order, pair = model(counts)
+    shared = spark.sparkContext.broadcast((by_order, pair))
+    name = blocks(docs, n_shards)
+
+    def ask(batches):
+        for batch in batches:
+            for block, data, bounds in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "bounds")), strict=True):
+                grams = _distinct(data, bounds)
+                yield _rows([(s, 1, block, len(at), packed(grams[at])) for s, at in _by_shard(grams, n_shards)])
+
+    def _rows(rows):
+        kinds = {"shard": pa.int32(), "kind": pa.int32(), "block": pa.string(), "n": pa.int32(), "data": pa.binary()}
+        return pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(kinds.items())})
+
+    def answer(batches):
+        by_order, pair = shared.value
+        tables, own = None, None
+        for batch in batches:
+            out = []
+            for shard, kind, block, n, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "block", "n", "data")), strict=True):
+                if own != shard:
+                    own, tables = shard, [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0))] * (ORDER - 2)
+                if kind == 0:
+                    orders = lower_orders(*unpacked(data, n, "i8"))
+                    tables = [(g, *interpolated(g, c, by_order[o])) for o, (g, c) in zip(range(3, ORDER + 1), reversed(orders), strict=True)]
+                else:
+                    out.append((shard, kind, block, n, log_probabilities(unpacked(data, n)[0], tables, pair).astype(np.float32).tobytes()))
+            yield _rows(out)
+
+    def score(batches):
+        for batch in batches:
+            for data, bounds, ids, langs, answers in zip(*(batch.column(c).to_pylist() for c in ("data", "bounds", "doc_id", "lang", "answers")), strict=True):
+                grams = _distinct(data, bounds)
+                logs = np.zeros(len(grams), np.float32)
+                found = {a["shard"]: a["data"] for a in answers or []}
+                for shard, at in _by_shard(grams, n_shards):
+                    logs[at] = np.frombuffer(found[shard], np.float32)
+                for first, d, b in _texts(data, bounds):
+                    n = np.diff(b)
+                    keys = np.sort(grams_of(d, b) << np.uint64(16) | np.repeat(np.arange(len(n), dtype=np.uint64), n))
+                    terms = logs[np.searchsorted(grams, keys >> np.uint64(16))].astype(np.float64)
+                    mean = -np.bincount((keys & np.uint64(0xFFFF)).astype(np.int64), terms, len(n)) / np.maximum(n, 1)
+                    own = slice(first, first + len(n))
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[own], pa.int64()), "lang": pa.array(langs[own], pa.string()), "n_bytes": pa.array(n.astype(np.int64)), "log_ppl": pa.array(mean, mask=n == 0)})
+
+    table = spark.table(name)
+    asked = table.select("block", "data", "bounds").mapInArrow(ask, _ASKED)
+    met = asked.unionByName(shards.select("shard", "kind", F.lit(None).cast("string").alias("block"), F.col("n").cast("int").alias("n"), "data"))
+    answers = met.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "kind").mapInArrow(answer, _ASKED)
+    per_block = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("answers"))  # a row a shard
+    joined = table.hint("merge").join(per_block, "block", "left").select("data", "bounds", "doc_id", "lang", "answers")
+    return joined.mapInArrow(score, "doc_id bigint, lang string, n_bytes bigint, log_ppl double"), name
 
 
 def thresholds(scored: DataFrame, per_mille: int = QUANTILE_PER_MILLE, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -161,10 +331,14 @@ def judge_documents(docs: DataFrame, labels: DataFrame, per_mille: int = QUANTIL
     all but empty texts are kept). Null texts are empty: perplexity null, not kept. Null lang is a language. Repeated rows are judged each. Other columns are
     not read. An empty table gives no rows.
     """
+    spark = docs.sparkSession
+    n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
     trusted = _trusted(docs, labels)
-    tables = model(count_grams(trusted))
-    scored, _ = written(perplexities(docs, tables), "perplexity")
+    counts, _ = written(count_grams(trusted, n_shards), "gram-counts")
+    found, blocks_name = perplexities(docs, counts, n_shards)
+    scored, _ = written(found, "perplexity")
+    spark.sql(f"DROP TABLE {blocks_name}")
     limits, _ = written(thresholds(_trusted(scored, labels), per_mille, min_docs), "perplexity-thresholds")
     own = limits.where("level = 1").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own"))
     every = F.broadcast(limits.where("level = 0").select(F.col("threshold").alias("_all")))  # one row

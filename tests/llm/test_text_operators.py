@@ -131,41 +131,125 @@ def test_quality_measures_against_brute_force(spark):
     assert quality_rules.judged_documents(frame(spark, [(1, None)])).first().kept is False
 
 
-def test_quality_fences_are_the_quartiles(spark):
-    rows = [(i, "", "en" if i % 2 else "de", "s", i % 97) for i in range(400)]
-    measured = spark.createDataFrame(rows, "doc_id bigint, t string, lang string, source string, value int")
-    measured = measured.selectExpr("doc_id", "lang", "source", "false as base_failed", *[f"value as {m}" for m in quality_rules.MEASURES])
-    found = {(r.level, r.lang, r.source): r for r in quality_rules.fences(measured).collect()}
+def fence_by_hand(values, measure):
+    tail, reach, up, _ = quality_rules.MEASURES[measure]
+    values = sorted(values)
+    at = lambda per_mille: values[(len(values) * per_mille + 999) // 1000 - 1]
+    return at(tail) + max(reach * (at(tail) - at(500)), up), at(500)
+
+
+def measured_rows(spark, rows):
+    """rows: lang, source, value of every measure."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, source string, value int")
+    return df.selectExpr("doc_id", "lang", "source", "false as base_failed", *[f"value as {m}" for m in quality_rules.MEASURES])
+
+
+def test_quality_fences_are_tail_quantiles(spark):
+    rows = [("en" if i % 2 else "de", "s", i % 97) for i in range(400)]
+    found = {(r.level, r.lang, r.source): r for r in quality_rules.fences(measured_rows(spark, rows)).collect()}
     for lang in ("en", "de"):
-        values = sorted(r[4] for r in rows if r[2] == lang)
-        n = len(values)
-        q1, q3 = values[(n + 3) // 4 - 1], values[(3 * n + 3) // 4 - 1]
-        fence = found[(2, lang, "s")].fence["symbol_rate"]
-        assert (found[(2, lang, "s")].n_docs, fence.most) == (n, q3 + max(quality_rules.REACH * (q3 - q1), 30))
+        values = [v for own, _, v in rows if own == lang]
+        for measure in quality_rules.MEASURES:
+            most, median = fence_by_hand(values, measure)
+            every, middle = fence_by_hand([v for _, _, v in rows], measure)
+            assert found[(2, lang, "s")].n_docs == len(values)
+            assert found[(2, lang, "s")].fence[measure].most == min(most, median + quality_rules.WIDER * (every - middle))
     assert found[(0, "", "")].n_docs == 400
 
 
-def test_kneser_ney_sums_to_one(spark):
+def test_quality_fences_follow_each_groups_tail(spark):
+    rng = random.Random(18)
+    rows = [("en", "narrow", rng.randint(0, 20)) for _ in range(500)] + [("en", "wide", rng.randint(0, 120)) for _ in range(500)]
+    measured = measured_rows(spark, rows)
+    fence = {r.source: r.fence for r in quality_rules.fences(measured).collect() if r.level == 2}
+    assert not any(fence[s][m].by_floor for s in ("narrow", "wide") for m in ("echo_rate", "capital_rate", "mean_word"))
+    assert all(fence["narrow"][m].most < fence["wide"][m].most for m in quality_rules.MEASURES)
+    extra = measured_rows(spark, rows + [("en", "narrow", 150), ("en", "wide", 150)])
+    kept = {(r.source, r.symbol_rate): r.kept for r in quality_rules.judge(extra, min_docs=50).collect()}
+    assert kept[("wide", 150)] and not kept[("narrow", 150)]
+
+
+def test_a_source_of_junk_keeps_its_rules(spark):
+    rng = random.Random(19)
+    rows = [("en", f"s{i % 10}", rng.randint(0, 12)) for i in range(5000)] + [("en", "s0", 700) for _ in range(200)]  # two sevenths of s0
+    judged = quality_rules.judge(measured_rows(spark, rows), min_docs=50).collect()
+    assert not any(r.kept for r in judged if r.echo_rate == 700)
+    assert sum(r.kept for r in judged) > 4900
+
+
+def kneser_ney_by_hand(trusted):
+    """P(byte | bytes before) by dictionaries, from the definition."""
+    order = kneser_ney.ORDER
+    pad = bytes(order - 1)
+    tables = {order: Counter()}
+    for text in trusted:
+        data = pad + text
+        tables[order].update(data[i : i + order] for i in range(len(text)))
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    d = {n: kneser_ney.discounts(Counter(t.values())) for n, t in tables.items()}
+    contexts = {n: {} for n in tables}
+    for n, t in tables.items():
+        for g, c in t.items():
+            contexts[n].setdefault(g[:-1], []).append(c)
+
+    def probability(gram):
+        if not gram:
+            return 1 / 256
+        n, lower = len(gram), probability(gram[1:])
+        counts = contexts[n].get(gram[:-1])
+        if not counts:
+            return lower
+        c, cut = tables[n].get(gram, 0), lambda k: d[n][min(k, 3) - 1]
+        return ((c - cut(c)) / sum(counts) if c else 0) + sum(map(cut, counts)) / sum(counts) * lower
+
+    return probability
+
+
+def test_kneser_ney_against_brute_force(spark):
     rng = random.Random(9)
-    counts = kneser_ney.count_grams(frame(spark, [(i, sentence(rng, 200)) for i in range(8)]))
-    table = np.exp(kneser_ney.log_probabilities(*kneser_ney.model(counts)).astype(np.float64)).reshape(-1, kneser_ney.SYMBOLS)
-    some = np.random.default_rng(1).integers(0, len(table), 500)
-    seen = {r.gram >> kneser_ney.BITS for r in counts.collect()}
-    assert np.allclose(table[[*some, *sorted(seen)[:500]]].sum(1), 1, atol=1e-4)
+    rows = [(i, sentence(rng, rng.randint(1, 40))) for i in range(60)] + [(100, None), (101, ""), (102, "é中😀 ß" * 5), (103, "q" * 700), (104, sentence(rng, 30)), (None, "x y"), (104, "again")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(102, 1, 0), (103, 0, 0)], "doc_id bigint, quality int, toxic int")
+    probability = kneser_ney_by_hand([t.encode() for i, t in rows if i is not None and t and (i < 40 or i == 102)])
+    contexts = [b"\0\0\0\0", b"alph", b"zzzz", "é".encode() * 2, b"a et"]
+    assert all(sum(probability(c + bytes([b])) for b in range(256)) == pytest.approx(1) for c in contexts)
+    wanted = []
+    for i, text in rows:
+        data = bytes(kneser_ney.ORDER - 1) + (text or "").encode()
+        logs = [np.log(probability(data[k : k + kneser_ney.ORDER])) for k in range(len(data) - kneser_ney.ORDER + 1)]
+        wanted.append((str(i), len(logs), float(np.exp(-np.mean(logs))) if logs else 0.0))
+    found = kneser_ney.judge_documents(frame(spark, rows).repartition(3), labels, min_docs=10).collect()
+    found = sorted((str(r.doc_id), r.n_bytes, r.perplexity or 0.0) for r in found)
+    assert [r[:2] for r in found] == [r[:2] for r in sorted(wanted)]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in sorted(wanted)], rel=1e-5)
 
 
 def test_gram_counts_against_brute_force(spark):
     rows = [r for r in odd_rows() if r[0] != 4]
     wanted = Counter()
     for _, text, *_ in rows:
-        symbols = [int(kneser_ney.CLASSES[b]) for b in (text or "").encode()]
-        padded = [0] * (kneser_ney.ORDER - 1) + symbols
-        for i in range(len(symbols)):
-            gram = 0
-            for s in padded[i : i + kneser_ney.ORDER]:
-                gram = gram << kneser_ney.BITS | s
-            wanted[gram] += 1
-    assert {r.gram: r.n for r in kneser_ney.count_grams(frame(spark, rows)).collect()} == wanted
+        data = bytes(kneser_ney.ORDER - 1) + (text or "").encode()
+        wanted.update(data[i : i + kneser_ney.ORDER] for i in range(len(data) - kneser_ney.ORDER + 1))
+    counts = kneser_ney.count_grams(frame(spark, rows), 4).collect()
+    found = {}
+    for r in counts:
+        if r.kind == 0:
+            grams, n = kneser_ney.unpacked(bytes(r.data), r.n, "i8")
+            found |= {int(g).to_bytes(kneser_ney.ORDER, "big"): int(k) for g, k in zip(grams, n, strict=True)}
+    assert found == wanted
+    for order in range(3, kneser_ney.ORDER + 1):
+        types = Counter(g[-order:] for g in {g[-order - 1 :] for g in wanted}) if order < kneser_ney.ORDER else wanted
+        for i in range(1, 5):
+            assert sum(r.n for r in counts if r.kind == order and r.gram == i) == sum(v == i for v in types.values())
+
+
+def test_grams_are_packed_reversibly():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5000):
+        grams = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        counts = rng.integers(1, 1 << 40, len(grams))
+        back, more = kneser_ney.unpacked(kneser_ney.packed(grams, counts), len(grams), "i8")
+        assert (back == grams).all() and (more == counts).all()
 
 
 def test_discounts():
