@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,17 +145,18 @@ def fit_rows(labels: DataFrame, most: int = FIT_ROWS) -> tuple[np.ndarray, np.nd
     return np.array([i for i, _ in rows], np.int64), np.array([t for _, t in rows], np.int64)
 
 
-def vocabulary(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, most: int = VOCABULARY, least_z: float = LEAST_Z) -> np.ndarray:
-    """The hashes (sorted) of the terms that tell the fitted rows' classes apart."""
+def vocabulary(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, most: int | None = VOCABULARY, least_z: float = LEAST_Z) -> np.ndarray:
+    """The hashes (sorted) of the terms that tell the fitted rows' classes apart, at most ``most`` of them (None: all)."""
     shared = docs.sparkSession.sparkContext.broadcast((ids, toxic))
 
     def count(batches):
         ids, toxic = shared.value
         kept, n = [], 0
         for batch in slices(batches, BATCH_BYTES):
-            own = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ids, np.nan_to_num(own).astype(np.int64)), max(len(ids) - 1, 0))
-            found = (ids[at] == own) if len(ids) else np.zeros(batch.num_rows, bool)
+            given = batch.column("doc_id")
+            own = pc.fill_null(given, 0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
+            found = (ids[at] == own) & given.is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(batch.num_rows, bool)
             if not found.any():
                 continue
             rows, hashes, _ = terms_of(*text_bytes(batch.column("text").filter(pa.array(found))))
@@ -174,7 +176,8 @@ def vocabulary(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, most: int =
     rate = (F.col("a") + F.col("b")) / (n1 + n0)
     z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n1 + 1 / n0))
     higher, lower = F.greatest(F.col("a") / n1, F.col("b") / n0), F.least(F.col("a") / n1, F.col("b") / n0)
-    found = counts.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (higher >= LEAST_RATIO * lower)).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).select("term").collect()
+    telling = counts.where((F.col("a") + F.col("b") >= LEAST_DOCS) & (higher >= LEAST_RATIO * lower)).withColumn("z", z).where(F.col("z") >= least_z)
+    found = (telling if most is None else telling.orderBy(F.desc("z"), "term").limit(most)).select("term").collect()
     return np.sort(np.array([r.term for r in found], np.int64).view(np.uint64))
 
 
@@ -202,6 +205,22 @@ def vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, terms array<int>, counts array<int>")
 
 
+def frequencies(table: DataFrame, n_terms: int) -> np.ndarray:
+    """How many rows of vectors() have each term: each partition counts its own, so that no row is sent for a term of a document."""
+
+    def count(batches):
+        seen = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            seen += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(some.astype(np.int32)), "n": pa.array(seen[some])})
+
+    out = np.zeros(n_terms)
+    for r in table.select("terms").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row a term of the vocabulary
+        out[r.term] = r.n
+    return out
+
+
 def unit_weights(rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, n_rows: int) -> np.ndarray:
     weights = (1 + np.log(np.maximum(counts, 1))) * idf[terms]
     return weights / np.sqrt(np.bincount(rows, weights**2, n_rows))[rows]
@@ -260,22 +279,20 @@ def _labelled(spark: SparkSession, ids: np.ndarray, toxic: np.ndarray) -> DataFr
     return F.broadcast(spark.createDataFrame(list(zip(ids.tolist(), toxic.tolist(), strict=True)), "doc_id bigint, toxic int"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit: int = FIT_ROWS, per_class: int = PER_CLASS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit: int = FIT_ROWS, per_class: int = PER_CLASS, terms: int | None = VOCABULARY) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence.
 
+    The model is fitted on at most ``fit`` labelled rows, ``per_class`` examples of each class and ``terms`` terms (None: every telling term).
     Null texts are empty; texts without a term of the vocabulary score the fitted rows' rate of toxic among such texts. Repeated rows
     are scored each. Without labelled rows every score is 0.5. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ids, toxic = fit_rows(labels, fit)
-    terms = vocabulary(docs, ids, toxic)
+    terms = vocabulary(docs, ids, toxic, terms)
     table, table_path = written(vectors(docs, terms), "toxicity-vectors")
     total = table.count()
-    frequency = np.zeros(len(terms))
-    for r in table.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most VOCABULARY rows
-        frequency[r.term] = r["count"]
-    idf = np.log((total + 1) / (frequency + 1)) + 1
+    idf = np.log((total + 1) / (frequencies(table, len(terms)) + 1)) + 1
     fitted = table.join(_labelled(spark, ids, toxic), "doc_id")
     first = F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")
     grouped = fitted.where(F.size("terms") > 0).groupBy("text_key").agg(F.min(first).alias("first"), F.avg("toxic").alias("share"), F.min_by("terms", first).alias("terms"), F.min_by("counts", first).alias("counts"))
@@ -285,7 +302,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         some = texts.where((F.col("share") >= 0.5) == label).orderBy("hash", "doc_id", "text_key").limit(per_class)
         examples += some.collect()
     index = build_index([(r.terms, r.counts) for r in examples], idf)
-    voted, _ = written(votes(table, index, idf, [(r.doc_id, r.text_key, r.share) for r in examples]), "toxicity-votes")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    voted, _ = written(votes(table.repartition(n), index, idf, [(r.doc_id, r.text_key, r.share) for r in examples]), "toxicity-votes")
     discard(spark, table_path, texts_path)
     counts, silent = np.zeros((2, BINS + 1)), np.zeros(2)
     for r in voted.join(_labelled(spark, ids, toxic), "doc_id").groupBy(F.floor(F.col("vote") * BINS).alias("bin"), "toxic").count().collect():
