@@ -21,20 +21,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .shared import slices, texts_of
+from .shared import arrow_map, slices, texts_of
 
 LEAF_CHARS = 2048
 LEAF_BYTES = 512
 LEAF_IDS = 4096
 FIRST_WINDOW = 32
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: white space on which libraries disagree
+ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
+_ANCHOR = re.compile(rf" (?=[^\s{ODD_SPACE}])")
 
 
 @lru_cache(maxsize=4)
@@ -49,10 +54,13 @@ class ByteBpe:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.leaf = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.matches = regex.compile(pattern)
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= LEAF_CHARS:
             return self.leaf.encode_ordinary(text)
+        if not _ANCHOR.search(text, 1):
+            return self.encode_unanchored(text)
         middle = len(text) // 2
         left, right = text[:middle], text[middle:]
         return self.join(left, self.encode(left), right, self.encode(right))
@@ -64,6 +72,13 @@ class ByteBpe:
         from_right = len(self.leaf.encode_ordinary(right[:end]))
         return left_ids[:from_left] + redone + right_ids[from_right:]
 
+    def encode_unanchored(self, text: str) -> list[int]:
+        """A segment in which the text's tree finds no place to join: each match by the tree on bytes. Libraries may differ on what is a letter
+        beyond ASCII, so other segments are one leaf."""
+        if not text.isascii() or any(c in text for c in ODD_SPACE[:4]):
+            return self.leaf.encode_ordinary(text)
+        return [i for m in self.matches.finditer(text) for i in self.encode_piece(m[0].encode())]
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """One match of the pattern, by the tree on bytes."""
         if len(piece) <= LEAF_BYTES:
@@ -119,7 +134,7 @@ def _anchor_after(text: str) -> int:
 
 def _space_like(char: str) -> bool:
     """Characters on which libraries disagree whether they are white space are no anchors' ends."""
-    return char in "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
+    return char in ODD_SPACE
 
 
 @lru_cache(maxsize=2)
@@ -154,7 +169,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
                 out |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(all_bytes, pa.binary())}
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, fields)
+    return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, fields)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -166,4 +181,4 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
             texts = [None if ids is None else bpe.decode(ids).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
-    return encoded.selectExpr("cast(doc_id as bigint) doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return arrow_map(encoded.selectExpr("cast(doc_id as bigint) doc_id", "ids"), run, "doc_id bigint, text string")

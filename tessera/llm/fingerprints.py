@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, texts_of, written
+from .shared import arrow_map, slices, texts_of, written
 
 SPACINGS = ((0, 4, 9), (0, 3, 7))
 BUCKETS = 256
@@ -111,7 +111,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             add(2, before[0], before[1], (None,) * len(_OUT))
             yield batch_of()
 
-    table, _ = written(dealt.mapInArrow(walk, f"kind int, part int, doc_id bigint, text string, {_OUT_DDL}"), "fingerprints")
+    table, _ = written(arrow_map(dealt, walk, f"kind int, part int, doc_id bigint, text string, {_OUT_DDL}"), "fingerprints")
     filled = sorted(r.part for r in table.where("kind = 1").select("part").collect())  # one row a range
     follows = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "part int, next int")
     first = table.where("kind = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
@@ -125,4 +125,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(_OUT)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {name: pa.array(list(column), kind) for (name, kind), column in zip(_OUT, columns, strict=True)})
 
-    return table.where("kind = 0").select("doc_id", *(n for n, _ in _OUT)).unionByName(edges.mapInArrow(close, f"doc_id bigint, {_OUT_DDL}"))
+    return table.where("kind = 0").select("doc_id", *(n for n, _ in _OUT)).unionByName(arrow_map(edges, close, f"doc_id bigint, {_OUT_DDL}"))

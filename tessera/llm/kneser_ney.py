@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, slices, text_bytes, written
+from .shared import arrow_map, shared_dir, slices, text_bytes, written
 
 ORDER = 5
 QUANTILE_PER_MILLE = 995
@@ -133,7 +133,8 @@ def count_grams(docs: DataFrame, n_shards: int) -> DataFrame:
             out += [(shard, -1, int(p), int(k), None) for p, k in zip(pairs, n, strict=True)]
             yield _batch(_COUNTS, out)
 
-    return docs.select("text").mapInArrow(send, _COUNTS).repartitionById(n_shards, F.col("shard")).mapInArrow(add, _COUNTS)
+    sent = arrow_map(docs.select("text"), send, _COUNTS).repartitionById(n_shards, F.col("shard"))
+    return arrow_map(sent, add, _COUNTS)
 
 
 def lower_orders(grams: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -232,7 +233,7 @@ def blocks(docs: DataFrame, n_parts: int) -> str:
             yield row()
 
     name = f"tessera_blocks_{uuid.uuid4().hex}"
-    docs.select("doc_id", "lang", "text").mapInArrow(run, _BLOCKS).write.bucketBy(n_parts, "block").option("path", f"{shared_dir(spark)}/tessera/{name}").option("compression", "uncompressed").saveAsTable(name)
+    arrow_map(docs.select("doc_id", "lang", "text"), run, _BLOCKS).write.bucketBy(n_parts, "block").option("path", f"{shared_dir(spark)}/tessera/{name}").option("compression", "uncompressed").saveAsTable(name)
     return name
 
 
@@ -304,12 +305,12 @@ def perplexities(docs: DataFrame, counts: DataFrame, n_shards: int) -> tuple[Dat
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[own], pa.int64()), "lang": pa.array(langs[own], pa.string()), "n_bytes": pa.array(n.astype(np.int64)), "log_ppl": pa.array(mean, mask=n == 0)})
 
     table = spark.table(name)
-    asked = table.select("block", "data", "bounds").mapInArrow(ask, _ASKED)
+    asked = arrow_map(table.select("block", "data", "bounds"), ask, _ASKED)
     met = asked.unionByName(shards.select("shard", "kind", F.lit(None).cast("string").alias("block"), F.col("n").cast("int").alias("n"), "data"))
-    answers = met.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "kind").mapInArrow(answer, _ASKED)
+    answers = arrow_map(met.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "kind"), answer, _ASKED)
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("answers"))  # a row a shard
     joined = table.hint("merge").join(per_block, "block", "left").select("data", "bounds", "doc_id", "lang", "answers")
-    return joined.mapInArrow(score, "doc_id bigint, lang string, n_bytes bigint, log_ppl double"), name
+    return arrow_map(joined, score, "doc_id bigint, lang string, n_bytes bigint, log_ppl double"), name
 
 
 def thresholds(scored: DataFrame, per_mille: int = QUANTILE_PER_MILLE, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .passages import SHINGLE, tokens_of
-from .shared import slices, text_bytes
+from .shared import arrow_map, slices, text_bytes
 from .words import mix
 
 BANDS, ROWS = 24, 2
@@ -140,4 +140,4 @@ def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = Non
                 doc_id, name, start, end, contained = zip(*out, strict=True) if out else [[]] * 5
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id, pa.int64()), "license": pa.array(name, pa.string()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()), "containment": pa.array(contained, pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, license string, start bigint, end bigint, containment double")
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, license string, start bigint, end bigint, containment double")

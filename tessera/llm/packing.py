@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import BATCH_BYTES, codec
-from .shared import slices, texts_of, written
+from .shared import arrow_map, slices, texts_of, written
 
 END_ID = 0
 
@@ -65,7 +65,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = 1024, wit
             wide = np.full(len(ids), ids[0].itemsize if ids else 2, np.int32)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "part": pa.array(np.full(len(ids), pid, np.int32)), "place": pa.array(places), "n": pa.array(counts), "wide": pa.array(wide), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
 
-    encoded = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(encode, "doc_id bigint, part int, place bigint, n bigint, wide int, ids binary")
+    encoded = arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), encode, "doc_id bigint, part int, place bigint, n bigint, wide int, ids binary")
     stream, _ = written(encoded, "packing")
     totals = sorted(stream.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row for each partition of the scan
     starts = dict(zip([r.part for r in totals], accumulate((r.n for r in totals), initial=0), strict=False))
@@ -90,4 +90,4 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, length: int = 1024, wit
                 out["ids"] = pa.array(list(columns[7]), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
-    return stream.select("doc_id", "part", "place", "wide", "ids").mapInArrow(cut, fields)
+    return arrow_map(stream.select("doc_id", "part", "place", "wide", "ids"), cut, fields)

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, slices, small, text_bytes, written
+from .shared import arrow_map, discard, slices, small, text_bytes, written
 from .words import mix, word_hashes
 
 SHINGLE = 5
 TOKENS = 46  # 50 words
-HASHES = 4
+HASHES = 6
 NEEDED = 2
 SIMILARITY = 0.8
 #: of TOKENS tokens, for a Jaccard similarity of SIMILARITY between runs of TOKENS tokens
@@ -340,8 +340,9 @@ _PAIRS = "doc bigint, variant int, o_doc bigint, o_variant int, lo bigint, hi bi
 
 def candidates(docs: DataFrame, n_parts: int) -> DataFrame:
     """docs: doc_id, variant, text. Pairs of regions (doc, lo, hi) and (o_doc, o_lo, o_hi), in token places, widened and rounded outwards."""
-    met = docs.select("doc_id", "variant", "text").mapInArrow(lambda b: _windows(b, n_parts), _BLOBS).repartitionById(n_parts, F.col("part")).mapInArrow(lambda b: _meet(b, n_parts), _BLOBS)
-    return met.repartitionById(n_parts, F.col("part")).mapInArrow(_candidates, _PAIRS)
+    windows = arrow_map(docs.select("doc_id", "variant", "text"), lambda b: _windows(b, n_parts), _BLOBS)
+    met = arrow_map(windows.repartitionById(n_parts, F.col("part")), lambda b: _meet(b, n_parts), _BLOBS)
+    return arrow_map(met.repartitionById(n_parts, F.col("part")), _candidates, _PAIRS)
 
 
 _REGIONS = "o_doc bigint, o_variant int, salt int, side int, doc bigint, variant int, text_key bigint, lo bigint, o_lo bigint, o_hi bigint, tokens binary, starts binary, ends binary"
@@ -449,9 +450,10 @@ def stretches(docs: DataFrame, pairs: DataFrame, n_parts: int) -> DataFrame:
     fields = ["side", "o_doc", "o_variant", "lo", "hi", "o_lo", "o_hi", "salt"]
     few = asks.limit(BROADCAST_ASKS + 1).count() <= BROADCAST_ASKS
     grouped = asks.groupBy(F.col("doc").alias("doc_id"), "variant").agg(F.collect_list(F.struct(*fields)).alias("asks"))  # as many as a text has regions
-    read = docs.join(F.broadcast(grouped) if few else grouped, ["doc_id", "variant"]).select("doc_id", "variant", F.xxhash64("text").alias("text_key"), "asks", "text").mapInArrow(_regions, _REGIONS)
+    asked = docs.join(F.broadcast(grouped) if few else grouped, ["doc_id", "variant"]).select("doc_id", "variant", F.xxhash64("text").alias("text_key"), "asks", "text")
+    read = arrow_map(asked, _regions, _REGIONS)
     met = read.repartition(n_parts, "o_doc", "o_variant", "salt").sortWithinPartitions("o_doc", "o_variant", "salt", "side")
-    found, _ = written(met.mapInArrow(_verified, _FOUND).distinct(), "passages")
+    found, _ = written(arrow_map(met, _verified, _FOUND).distinct(), "passages")
     discard(spark, pairs_path, asks_path)
     return found
 
@@ -497,7 +499,7 @@ def _passages(docs: DataFrame) -> DataFrame:
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(total // PART_BYTES, MOST_PARTS))
     own = marked.where("copy_of is null").drop("copy_of")
     found = stretches(own, candidates(own, n_parts), n_parts)
-    whole = marked.where("copy_of is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "copy_of", "text").mapInArrow(_whole, _FOUND).distinct()
+    whole = arrow_map(marked.where("copy_of is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "copy_of", "text"), _whole, _FOUND).distinct()
     return found.unionByName(whole)
 
 

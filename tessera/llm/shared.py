@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pyspark.sql import DataFrame
+
 from ..plans.storage import discard, read_table, shared_dir, small, written
 
-__all__ = ["discard", "read_table", "shared_dir", "slices", "small", "text_bytes", "texts_of", "written"]
+__all__ = ["arrow_map", "discard", "read_table", "shared_dir", "slices", "small", "text_bytes", "texts_of", "written"]
+
+
+#: bytes of rows that Spark hands to Python at once
+ARROW_BYTES = 8 << 20
+_BYTES_PER_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow for texts of any length: the session's limit of bytes in a batch goes down to ARROW_BYTES if it is higher, and
+    a worker that has done a partition gives the memory it no longer needs back to the system."""
+    spark = df.sparkSession
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES_PER_BATCH))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(_BYTES_PER_BATCH, str(ARROW_BYTES))
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc alone has it
+        libc.malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

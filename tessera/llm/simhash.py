@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import slices, written
+from .shared import arrow_map, slices, written
 
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
 BYTES = 8
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 TILE = 1024
 
 
@@ -62,7 +62,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fingerprints_of(texts).view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, fp bigint")
 
 
 def _masks(shared: int) -> list[int]:
@@ -141,7 +141,7 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(_masks(BYTES - most_bits))])).alias("posting")
     lists = distinct.select("fp", postings).select("posting.place", "posting.shared", "fp").repartition(n, "place", "shared").sortWithinPartitions("place", "shared")
-    return lists.mapInArrow(lambda batches: _lists_to_edges(batches, most_bits), "a bigint, b bigint").distinct()
+    return arrow_map(lists, lambda batches: _lists_to_edges(batches, most_bits), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, slices, text_bytes, written
+from .shared import arrow_map, discard, slices, text_bytes, written
 from .words import LETTERS, mix, word_hashes
 
 FIT_ROWS = 65_536
@@ -36,8 +36,8 @@ OPENINGS = (6, 7, 8)
 PER_CLASS = 1024
 BLOCK = 64
 NEAREST = 100
-ROWS = 256
-BATCH_BYTES = 2 << 20
+ROWS = 128
+BATCH_BYTES = 1 << 20
 THRESHOLD = 0.3
 BINS = 256
 
@@ -162,16 +162,16 @@ def vocabulary(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, most: int |
             rows, hashes, _ = terms_of(*text_bytes(batch.column("text").filter(pa.array(found))))
             kept.append(_added([(hashes, toxic[at[found]][rows], 1 - toxic[at[found]][rows])]))
             n += len(kept[-1][0])
-            if n > 2_000_000:
+            if n > 500_000:
                 kept = [_added(kept)]
                 n = len(kept[0][0])
-                if n > 1_000_000:
+                if n > 250_000:
                     yield _counts(*kept[0])
                     kept, n = [], 0
         if kept:
             yield _counts(*_added(kept))
 
-    counts = docs.mapInArrow(count, "term bigint, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counts = arrow_map(docs, count, "term bigint, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     n1, n0 = max(int(toxic.sum()), 1), max(int(len(toxic) - toxic.sum()), 1)
     rate = (F.col("a") + F.col("b")) / (n1 + n0)
     z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / n1 + 1 / n0))
@@ -202,7 +202,7 @@ def vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (places, counts)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "terms": lists[0].cast(ints), "counts": lists[1].cast(ints)})
 
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).mapInArrow(run, "doc_id bigint, text_key bigint, terms array<int>, counts array<int>")
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")), run, "doc_id bigint, text_key bigint, terms array<int>, counts array<int>")
 
 
 def frequencies(table: DataFrame, n_terms: int) -> np.ndarray:
@@ -216,7 +216,7 @@ def frequencies(table: DataFrame, n_terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"term": pa.array(some.astype(np.int32)), "n": pa.array(seen[some])})
 
     out = np.zeros(n_terms)
-    for r in table.select("terms").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row a term of the vocabulary
+    for r in arrow_map(table.select("terms"), count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row a term of the vocabulary
         out[r.term] = r.n
     return out
 
@@ -257,7 +257,7 @@ def votes(table: DataFrame, index: BlockMaxIndex, idf: np.ndarray, examples: lis
                 evidence = [[{"doc_id": int(ids[j]), "cosine": float(c), "toxic": int(labels[j] >= 0.5)} for c, j in zip(b[:3], w[:3], strict=True) if c > 0] for b, w in zip(best, who, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "vote": pa.array([float(v) if x > 0 else None for v, x in zip(vote, sums, strict=True)], pa.float64()), "evidence": pa.array(evidence, evidence_type)})
 
-    return table.mapInArrow(run, "doc_id bigint, vote double, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
+    return arrow_map(table, run, "doc_id bigint, vote double, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
 
 
 def fit_curve(values: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
