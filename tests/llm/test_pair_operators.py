@@ -163,6 +163,70 @@ def test_copies_after_variants_that_are_not_alike_enough(spark):
     assert all(r.n_words == 50 and r.similarity == 1 for r in found)
 
 
+def test_near_copies_after_variants_that_are_not_alike_enough(spark):
+    rng = random.Random(22)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"n{next(fresh)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        text = new(120)
+        for j in range(5):  # a word in eleven changed: under half of the shingles stay
+            rows.append((100 * i + j, " ".join([*new(20), *(w if rng.random() > 0.09 else new(1)[0] for w in text), *new(20)])))
+        rows.append((100 * i + 50, " ".join([*new(20), *text, *new(20)])))
+        near = text[:]
+        near[rng.randrange(20, 100)] = new(1)[0]
+        rows.append((100 * i + 51, " ".join([*new(20), *near, *new(20)])))
+    words = {d: t.split() for d, t in rows}
+    wanted = near_passages({d: w for d, w in words.items() if d % 100 >= 50})
+    found = {}
+    for r in passages.near_duplicate_passages(frame(spark, rows).repartition(4)).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end))
+    missed = 0
+    for d, places in wanted.items():
+        at, spans = 0, []
+        for w in words[d]:
+            spans.append((at, at + len(w)))
+            at += len(w) + 1
+        missed += sum(not any(a <= spans[i][0] and spans[i + 4][1] <= b for a, b in found.get(d, [])) for i in places)
+    assert len(wanted) == 40 and missed <= 0.01 * sum(map(len, wanted.values()))
+
+
+@pytest.mark.parametrize("junk", [0, 60, 70, 5000])
+def test_junk_links_between_two_good_ones_lose_nothing(junk):
+    good = [(100, 1100, 0), (120, 1120, 1)]
+    bad = [(101 + i % 19, 3000 + 40 * i, 2) for i in range(junk)]
+    rows = sorted(good + bad)
+    n = len(rows)
+    link = {"doc": np.full(n, 9, np.int64), "o_doc": np.full(n, 2, np.int64), "variant": np.zeros(n, np.int32), "o_variant": np.zeros(n, np.int32), "before": np.full(n, 30, np.uint8), "after": np.full(n, 30, np.uint8)}
+    link |= {"c": np.array([r[0] for r in rows], np.int32), "o_c": np.array([r[1] for r in rows], np.int32), "k": np.array([r[2] for r in rows], np.uint8)}
+    assert passages.regions(link) == [(9, 0, 2, 0, 70, 150, 1070, 1150)]
+
+
+def test_texts_of_one_doc_id_are_cut_at_their_own_passages(spark):
+    rng = random.Random(23)
+    fresh = iter(range(10**6))
+    new = lambda n: " ".join(f"t{next(fresh)}" for _ in range(n))
+    shared, other = new(70), new(200)
+    rows = [(1, shared), (2, f"{new(9)} {shared} {new(9)}"), (2, other), (3, other), (2, f"{new(5)} {shared}"), (4, None), (2, other)]
+    rng.shuffle(rows)
+    cut = passages.without_passages(frame(spark, rows)).collect()
+    assert sorted(r.text for r in cut if r.doc_id == 2)[-2:] == [other, other] or sum(r.text == other for r in cut) == 2
+    assert sum((r.text or "").count(shared) for r in cut) == 1 and sum((r.text or "").count(other) for r in cut) == 2
+    assert all(r.n_chars == len(r.text or "") for r in cut) and len(cut) == len(rows)
+
+
+def test_one_passage_in_every_document(spark):
+    """A third of the corpus is one text, and all documents have one passage: every later place is found, with links in number like the places."""
+    fresh = iter(range(10**6))
+    new = lambda n: " ".join(f"h{next(fresh)}" for _ in range(n))
+    passage, copy = new(60), new(80)
+    rows = [(i, f"{new(30)} {passage} {new(30)}") for i in range(200)] + [(1000 + i, copy) for i in range(100)]
+    found = passages.near_duplicate_passages(frame(spark, rows).repartition(5)).collect()
+    assert {r.doc_id for r in found} == {*range(1, 200), *range(1001, 1100)}
+    assert all(r.other_doc_id == 1000 and r.n_words == 80 for r in found if r.doc_id >= 1000)
+    assert len([r for r in found if r.doc_id < 1000]) <= 3 * 199
+
+
 def test_passages_of_odd_documents(spark):
     rows = odd_rows()
     found = passages.near_duplicate_passages(frame(spark, rows)).collect()
