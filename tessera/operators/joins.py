@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,15 +35,54 @@ def fill_from(rows: DataFrame, value: str, lookups: list[tuple[str, DataFrame]])
 def overlaps(members: DataFrame, group: str, member: str, least: int = 2, rate: float = 0.75) -> DataFrame:
     """Pairs of groups a < b that share at least ``least`` members with a Jaccard similarity of ``rate`` or more.
 
-    The join is on the member; a member of very many groups makes as many pairs as it must.
+    Members are ordered by how few groups have them. Two groups of n and m members that are so similar share one of the first n - ceil(rate x n) + 1 (and
+    m - ceil(rate x m) + 1) of these, so only those are joined: a member of very many groups comes last in each and makes pairs only for groups that have
+    hardly any others. Sizes that cannot reach the rate are left out before the overlap is counted.
     """
-    pairs = members.select(group, member).distinct()
+    pairs = members.select(group, member).where(F.col(group).isNotNull() & F.col(member).isNotNull()).distinct()
+    spread = pairs.groupBy(member).agg(F.count("*").alias("_f"))
     sizes = pairs.groupBy(group).agg(F.count("*").alias("_n"))
-    left = pairs.select(F.col(group).alias("a"), member)
-    right = pairs.select(F.col(group).alias("b"), member)
-    shared = left.join(right, member).where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
-    sized = shared.join(sizes.select(F.col(group).alias("a"), F.col("_n").alias("_na")), "a").join(sizes.select(F.col(group).alias("b"), F.col("_n").alias("_nb")), "b")
-    return sized.withColumn("rate", F.col("overlap") / (F.col("_na") + F.col("_nb") - F.col("overlap"))).where(F.col("rate") >= rate).select("a", "b", "overlap", "rate")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_f", member))
+    ranked = pairs.join(spread, member).join(sizes, group).withColumn("_p", place)
+    first = ranked.where(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * rate - 1e-9) + 1)
+    left = first.select(F.col(group).alias("a"), member, F.col("_n").alias("_na"))
+    right = first.select(F.col(group).alias("b"), member, F.col("_n").alias("_nb"))
+    fit = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= rate * F.greatest("_na", "_nb") - 1e-9)
+    candidates = left.join(right, member).where(fit).select("a", "b", "_na", "_nb").distinct()
+    of_a = candidates.join(pairs.select(F.col(group).alias("a"), member), "a")
+    shared = of_a.join(pairs.select(F.col(group).alias("b"), member), ["b", member]).groupBy("a", "b", "_na", "_nb").agg(F.count("*").alias("overlap"))
+    return shared.withColumn("rate", F.col("overlap") / (F.col("_na") + F.col("_nb") - F.col("overlap"))).where((F.col("overlap") >= least) & (F.col("rate") >= rate)).select("a", "b", "overlap", "rate")
+
+
+def duplicate_severity(rows: DataFrame, key: str, state: str, identities: list[list[str]], grave: str) -> DataFrame:
+    """Rows that share an identity (any of the lists of columns) with another row in another state: 2 if that state is the grave one, else 1.
+
+    Per identity only its least and greatest state and whether the grave one occurs are joined back, so a shared identity makes no pairs.
+    """
+    found = []
+    for columns in identities:
+        known = rows.where(" and ".join(f"`{c}` is not null" for c in columns))
+        states = known.groupBy(*columns).agg(F.min(state).alias("_least"), F.max(state).alias("_most"), F.bool_or(F.col(state) == grave).alias("_grave")).where("_least <> _most")
+        severity = F.when(F.col("_grave") & (F.col(state) != grave), 2).otherwise(1)
+        found.append(known.join(states, columns).select(key, severity.alias("severity")))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(key).agg(F.max("severity").alias("severity"))
+
+
+def precedence_match(rows: DataFrame, known: DataFrame, keys: list[str], entity: str) -> DataFrame:
+    """The entity that a row's keys lead to: by the first of the keys that some entity has. If that key is one of several entities, the match is ambiguous.
+
+    Columns matched_entity, matched_by, ambiguous. Blank keys lead nowhere.
+    """
+    joined, hits = rows, []
+    for i, key in enumerate(keys):
+        filled = known.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").groupBy(key).agg(F.min(entity).alias(f"_least{i}"), F.max(entity).alias(f"_most{i}"))
+        joined = joined.join(filled, key, "left")
+        hits.append(F.when(F.col(f"_least{i}").isNotNull(), F.struct(F.col(f"_least{i}").alias("e"), F.lit(key).alias("by"), (F.col(f"_least{i}") != F.col(f"_most{i}")).alias("several"))))
+    best = F.coalesce(*hits)
+    return joined.select(*rows.columns, F.when(~best["several"], best["e"]).alias("matched_entity"), best["by"].alias("matched_by"), F.coalesce(best["several"], F.lit(False)).alias("ambiguous"))
 
 
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.storage import discard, written
 from .components import connected_components
 
 
@@ -38,38 +38,66 @@ def fold_blocks(rows: DataFrame, order: str, fold: Callable[[pd.DataFrame], Iter
     return rows.groupBy("block").applyInPandas(run, schema)
 
 
-def sequential_dedup(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
-    """E5: rows in order are kept if none of their key values was kept before; blank keys count for nothing."""
+def _postings(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """row and key (kind and value, as one text) of all keys that are not blank."""
+    pair = F.explode(F.array(*[F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}\x00"), F.col(k).cast("string"))) for k in keys])).alias("key")
+    return rows.select(F.col(order).cast("bigint").alias("row"), pair).where("key is not null")
 
-    def fold(frame):
-        taken = {k: set() for k in keys}
-        for values in frame[[order, *keys]].itertuples(index=False):
-            own = {k: v for k, v in zip(keys, values[1:], strict=True) if isinstance(v, str) and v}
-            fresh = not any(v in taken[k] for k, v in own.items())
-            if fresh:
-                for k, v in own.items():
-                    taken[k].add(v)
-            yield values[0], fresh
 
-    return fold_blocks(with_blocks(rows, order, keys), order, fold, f"{order} bigint, kept boolean")
+def sequential_dedup(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """E5: rows in order are kept if none of their key values was kept before; blank keys count for nothing.
 
+    By rounds over all rows: a row that is the first of the undecided ones for each of its keys is kept, and undecided rows that have a key of a kept one are
+    not. Each round decides at least the first undecided row of every group of rows that keys link, and no group is ever gathered in one place.
+    """
+    spark = rows.sparkSession
+    open_, path = written(_postings(rows, order, keys).distinct(), "dedup")
+    dropped, paths = [], []
+    while not open_.isEmpty():
+        first = open_.groupBy("key").agg(F.min("row").alias("first"))
+        wins = open_.join(first, "key").groupBy("row").agg(F.bool_and(F.col("row") == F.col("first")).alias("wins")).where("wins").select("row")
+        taken, taken_path = written(open_.join(wins, "row", "left_semi"), "dedup-kept")
+        lost, lost_path = written(open_.join(taken.select("key").distinct(), "key", "left_semi").join(taken.select("row").distinct(), "row", "left_anti").select("row").distinct(), "dedup-dropped")
+        rest = open_.join(lost, "row", "left_anti").join(taken.select("row").distinct(), "row", "left_anti")
+        left, left_path = written(rest, "dedup")
+        discard(spark, path, taken_path)
+        dropped.append(lost)
+        paths.append(lost_path)
+        open_, path = left, left_path
+    out = rows.select(F.col(order).cast("bigint").alias(order))
+    for lost in dropped:
+        out = out.join(lost.select(F.col("row").alias(order)), order, "left_anti")
+    kept = out.distinct().withColumn("kept", F.lit(True))
+    return rows.select(F.col(order).cast("bigint").alias(order)).join(kept, order, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
-def known_or_new(rows: DataFrame, order: str, ranked_kinds: list[str]) -> DataFrame:
-    """Each row is looked up by the strongest kind that it has; an accepted (new) row adds all its identities, another none. status: new, same_run or none."""
 
-    def fold(frame):
-        added = set()
-        for values in frame[[order, *ranked_kinds]].itertuples(index=False):
-            own = [(k, v) for k, v in zip(ranked_kinds, values[1:], strict=True) if isinstance(v, str) and v]
-            if not own:
-                yield values[0], "none"
-            elif own[0] in added:
-                yield values[0], "same_run"
-            else:
-                added.update(own)
-                yield values[0], "new"
+def known_or_new(rows: DataFrame, order: str, ranked_kinds: list[str]) -> DataFrame:
+    """Each row is looked up by the strongest kind that it has; an accepted (new) row adds all its identities, another none. status: new, same_run or none.
 
-    return fold_blocks(with_blocks(rows, order, ranked_kinds), order, fold, f"{order} bigint, status string")
+    By rounds over all rows, as in sequential_dedup: a row is new once no undecided or new row before it has the identity that it is looked up by.
+    """
+    spark = rows.sparkSession
+    postings = _postings(rows, order, ranked_kinds)
+    strongest = F.coalesce(*[F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}\x00"), F.col(k).cast("string"))) for k in ranked_kinds])
+    looked = rows.select(F.col(order).cast("bigint").alias("row"), strongest.alias("lookup"))
+    open_, path = written(postings.join(looked, "row").distinct(), "known")
+    same, paths = [], []
+    while not open_.isEmpty():
+        first = open_.groupBy("key").agg(F.min("row").alias("first"))
+        wins = open_.where("key = lookup").join(first, "key").where("row = first").select("row")
+        new, new_path = written(open_.join(wins, "row", "left_semi"), "known-new")
+        added = new.groupBy(F.col("key").alias("lookup")).agg(F.min("row").alias("by"))
+        met, met_path = written(open_.where("key = lookup").join(added, "lookup").where("by < row").select("row").distinct(), "known-same")
+        left, left_path = written(open_.join(met, "row", "left_anti").join(new.select("row").distinct(), "row", "left_anti"), "known")
+        discard(spark, path, new_path)
+        same.append(met)
+        paths.append(met_path)
+        open_, path = left, left_path
+    status = looked.withColumn("status", F.when(F.col("lookup").isNull(), "none"))
+    for i, met in enumerate(same):
+        status = status.join(met.withColumn(f"_m{i}", F.lit(True)), "row", "left")
+    known = F.coalesce(*[F.col(f"_m{i}") for i in range(len(same))], F.lit(False)) if same else F.lit(False)
+    return status.select(F.col("row").alias(order), F.coalesce("status", F.when(known, "same_run").otherwise("new")).alias("status"))
 
 
 #: kinds of evidence by strength; what vetoes a match through each: (evidence that must not be disjoint, reason)
@@ -187,6 +215,53 @@ def registry_decision(df: DataFrame) -> DataFrame:
     return df.withColumns({"classification": classification.otherwise("NEW"), "action": action.otherwise("CREATE_COMPANY")})
 
 
+def registry_evidence(observations: DataFrame, branches: DataFrame, companies: DataFrame, history: DataFrame) -> DataFrame:
+    """What registry_decision asks for, by equi-joins with a frozen registry.
+
+    observations: id, has_key, name, place, domain (trusted or ''), phone, address. branches: branch, company, kind (PLACE, NAME, PHONE, ADDRESS), value.
+    companies: company, kind (NAME, DOMAIN), value. history: kind (NAME, DOMAIN, PHONE, ADDRESS), value of unresolved rows.
+    """
+    of = lambda df, kind, *columns: df.where(F.col("kind") == kind).select(*columns, "value").distinct()
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+
+    # branches by name and phone, and by name and address: one row an observation and branch
+    names = of(branches, "NAME", "branch").withColumnRenamed("value", "name")
+    by = [names.join(of(branches, kind, "branch").withColumnRenamed("value", column), "branch") for kind, column in (("PHONE", "phone"), ("ADDRESS", "address"))]
+    hits = [observations.where(filled("name") & filled(column)).join(t, ["name", column]).select("id", "branch", F.lit(column).alias("how")) for t, column in zip(by, ("phone", "address"), strict=True)]
+    support = hits[0].unionByName(hits[1]).groupBy("id", "branch").agg(F.count_distinct("how").alias("ways")).groupBy("id").agg(F.count("*").alias("n_name_support"), F.count_if(F.col("ways") == 2).alias("n_name_both"))
+    # companies by name and domain, by either, and names or domains that unresolved history has
+    owners = of(companies, "NAME", "company").withColumnRenamed("value", "name"), of(companies, "DOMAIN", "company").withColumnRenamed("value", "domain")
+    both = owners[0].join(owners[1], "company").groupBy("name", "domain").agg(F.count_distinct("company").alias("n_name_domain"))
+    has = lambda df, kind, column, flag: of(df, kind).withColumnRenamed("value", column).where(filled(column)).distinct().withColumn(flag, F.lit(1))
+    # the one branch of a place, and what of the observation it and its company have
+    place = of(branches, "PLACE", "branch", "company").groupBy(F.col("value").alias("place")).agg(F.count_distinct("branch").alias("n_place"), F.min("branch").alias("branch"), F.min("company").alias("company"))
+    out = observations.join(place.where(filled("place")), "place", "left")
+    for df, owner, kinds in ((companies, "company", {"NAME": "name", "DOMAIN": "domain"}), (branches, "branch", {"NAME": "name", "PHONE": "phone", "ADDRESS": "address"})):
+        for kind, column in kinds.items():
+            tag = f"_{owner}_{column}"
+            out = out.join(of(df, kind, owner).select(owner).distinct().withColumn(f"{tag}_any", F.lit(True)), owner, "left").join(of(df, kind, owner).withColumnRenamed("value", column).withColumn(f"{tag}_has", F.lit(True)), [owner, column], "left")
+    any_, held = (lambda t: F.coalesce(F.col(f"{t}_any"), F.lit(False))), (lambda t: F.coalesce(F.col(f"{t}_has"), F.lit(False)))
+    against = lambda t, c: filled(c) & any_(t) & ~held(t)
+    name_against = against("_company_name", "name")
+    conflict = (name_against & against("_company_domain", "domain")) | (name_against & against("_branch_phone", "phone") & against("_branch_address", "address"))
+    fresh = F.lit(False)
+    for tag, column in (("_company_name", "name"), ("_company_domain", "domain"), ("_branch_name", "name"), ("_branch_phone", "phone"), ("_branch_address", "address")):
+        fresh = fresh | (filled(column) & ~held(tag))
+    out = out.join(support, "id", "left").join(both, ["name", "domain"], "left")
+    for i, (df, kind, column) in enumerate(((companies, "NAME", "name"), (companies, "DOMAIN", "domain"), (history, "NAME", "name"), (history, "DOMAIN", "domain"), (history, "PHONE", "phone"), (history, "ADDRESS", "address"))):
+        out = out.join(has(df, kind, column, f"_f{i}"), column, "left")
+    n = lambda *names: sum((F.coalesce(F.col(c), F.lit(0)) for c in names), F.lit(0)).cast("bigint")
+    return out.select(
+        "id", "has_key", "name", "place", "domain", "phone", "address", n("n_place").alias("n_place"), conflict.alias("place_conflict"), fresh.alias("place_new_evidence"),
+        n("n_name_support").alias("n_name_support"), n("n_name_both").alias("n_name_both"), n("n_name_domain").alias("n_name_domain"), n("_f0", "_f1", "n_name_support").alias("n_partial"), n("_f2", "_f3", "_f4", "_f5").alias("n_history"),
+    )
+
+
+def resolve(observations: DataFrame, branches: DataFrame, companies: DataFrame, history: DataFrame) -> DataFrame:
+    """Classification and action of each observation against a frozen registry."""
+    return registry_decision(registry_evidence(observations, branches, companies, history)).select("id", "classification", "action")
+
+
 def completeness_merge(rows: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
     """Rows of a key ranked by how many values they fill (then order); each value is the first filled down that ranking."""
     filled = sum(F.when(F.coalesce(F.col(v), F.lit("")) != "", 1).otherwise(0) for v in values)

@@ -302,21 +302,21 @@ def j7_unambiguous_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT l_suppkey AS g, l_partkey % 40 AS m FROM lineitem WHERE l_quantity > 49 GROUP BY 1, 2), n AS (SELECT g, count(*) AS n FROM s GROUP BY 1),
+WITH s AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS m FROM lineitem), n AS (SELECT g, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT a.g AS a, b.g AS b, count(*) AS overlap FROM s a JOIN s b ON a.m = b.m AND a.g < b.g GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT a, b, overlap, CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) AS rate FROM o JOIN n x ON x.g = a JOIN n y ON y.g = b WHERE CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) >= 0.3
+SELECT a, b, overlap, CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) AS rate FROM o JOIN n x ON x.g = a JOIN n y ON y.g = b WHERE CAST(overlap AS DOUBLE) / (x.n + y.n - overlap) >= 0.4
 """)
 def j11_pairwise_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("g"), (F.col("l_partkey") % 40).alias("m"))
-    return J.overlaps(members, "g", "m", 2, 0.3)
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("m"))
+    return J.overlaps(members, "g", "m", 2, 0.4)
 
 
 @query("""
-WITH h AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 = 0)
+WITH h AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F')
 SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.o_custkey = c_custkey AND o_totalprice > 400000) THEN 0 WHEN EXISTS (SELECT 1 FROM h WHERE h.o_custkey = c_custkey) THEN 1 WHEN EXISTS (SELECT 1 FROM h WHERE h.o_orderkey = c_custkey) THEN 2 END AS guard FROM customer
 """)
 def j12_history_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderkey % 5 = 0")
+    history = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     hits = history.select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_totalprice") > 400000, 0).otherwise(1).alias("guard")).unionByName(history.select(F.col("o_orderkey").alias("c_custkey"), F.lit(2).alias("guard")))
     return table(spark, sf_dir, "customer").select("c_custkey").join(hits.groupBy("c_custkey").agg(F.min("guard").alias("guard")), "c_custkey", "left")
 
@@ -361,14 +361,16 @@ def j18_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS id, o_custkey AS u, CAST(o_totalprice AS BIGINT) % 5000 AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 4 = 0)
-SELECT a.id, max(CASE WHEN b.s = 'F' THEN 2 ELSE 1 END) AS severity FROM a JOIN a b ON b.id <> a.id AND (a.u = b.u AND a.p / 1000 = b.p / 1000 AND a.s <> b.s) GROUP BY a.id
+WITH a AS (SELECT o_orderkey AS id, o_custkey || '/' || CAST(floor(o_totalprice / 100000) AS BIGINT) AS url, o_orderpriority AS provider, CAST(floor(o_totalprice) AS BIGINT) % 20000 AS code, o_orderstatus AS s FROM orders),
+p AS (SELECT a.id, b.s FROM a JOIN a b ON a.url = b.url AND b.id <> a.id WHERE a.s <> b.s UNION ALL SELECT a.id, b.s FROM a JOIN a b ON a.provider = b.provider AND a.code = b.code AND b.id <> a.id WHERE a.s <> b.s)
+SELECT id, max(CASE WHEN s = 'F' THEN 2 ELSE 1 END) AS severity FROM p GROUP BY id
 """)
 def j20_duplicate_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("u"), (F.col("o_totalprice").cast("decimal(20,0)").cast("bigint") % 5000 / 1000).alias("p"), F.col("o_orderstatus").alias("s"))
-    left, right = rows.alias("a"), rows.alias("b")
-    same = left.join(right, (F.col("a.u") == F.col("b.u")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.id") != F.col("b.id")) & (F.col("a.s") != F.col("b.s")))
-    return same.groupBy(F.col("a.id").alias("id")).agg(F.max(F.when(F.col("b.s") == "F", 2).otherwise(1)).alias("severity"))
+    """Another application with the same address, or with the same provider and code, in another state: two equi-joins with the states of each key, no pairs."""
+    orders = table(spark, sf_dir, "orders")
+    url = F.concat_ws("/", F.col("o_custkey").cast("string"), F.floor(F.col("o_totalprice") / 100000).cast("string"))
+    rows = orders.select(F.col("o_orderkey").alias("id"), url.alias("url"), F.col("o_orderpriority").alias("provider"), (F.floor("o_totalprice") % 20000).alias("code"), F.col("o_orderstatus").alias("s"))
+    return J.duplicate_severity(rows, "id", "s", [["url"], ["provider", "code"]], "F")
 
 
 @query("""

@@ -77,9 +77,9 @@ def s9_query_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_spellings(lines, "n", "p_partkey")
 
 
-@query("SELECT p_name || chr(9) || p_brand AS spec, p_name AS query, p_brand AS country FROM part WHERE p_partkey < 300 GROUP BY ALL")
+@query("SELECT p_name || chr(9) || p_brand AS spec, p_name AS query, p_brand AS country FROM part GROUP BY ALL")
 def s10_query_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = table(spark, sf_dir, "part").where("p_partkey < 300").select(F.concat("p_name", F.lit("\t"), "p_brand").alias("spec")).distinct()
+    spec = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("\t"), "p_brand").alias("spec")).distinct()
     parts = F.split("spec", "\t")
     return spec.select("spec", parts[0].alias("query"), parts[1].alias("country"))
 
@@ -359,23 +359,6 @@ def e1_greedy_lead_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.group_leads(_identities(spark, sf_dir))
 
 
-@query("""
-WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 <> 0 AS has_key, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'n' END AS name, CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE '' END AS place, CASE WHEN o_orderkey % 3 = 0 THEN 'd' ELSE '' END AS domain,
-  o_orderkey % 5 % 3 AS n_place, o_orderkey % 11 = 0 AS conflict, o_orderkey % 13 = 0 AS fresh, o_custkey % 3 AS n_support, o_custkey % 2 AS n_both, o_custkey % 5 % 3 AS n_domain, o_orderkey % 17 % 2 AS n_partial, o_orderkey % 19 % 2 AS n_history FROM orders)
-SELECT k, CASE WHEN NOT has_key THEN 'QUARANTINED' WHEN place <> '' AND n_place > 1 THEN 'AMBIGUOUS' WHEN place <> '' AND n_place = 1 THEN CASE WHEN conflict THEN 'AMBIGUOUS' WHEN fresh THEN 'UPDATED' ELSE 'KNOWN' END WHEN name = '' THEN 'QUARANTINED' WHEN place = '' AND domain = '' THEN 'QUARANTINED'
- WHEN place <> '' AND n_both = 1 THEN 'UPDATED' WHEN place <> '' AND n_support > 0 THEN 'AMBIGUOUS' WHEN n_support > 1 THEN 'AMBIGUOUS' WHEN n_support = 1 THEN 'KNOWN' WHEN n_domain > 1 THEN 'AMBIGUOUS' WHEN n_domain = 1 THEN CASE WHEN place <> '' THEN 'UPDATED' ELSE 'KNOWN' END
- WHEN n_partial > 0 OR n_history > 0 THEN 'AMBIGUOUS' ELSE 'NEW' END AS classification FROM o
-""")
-def e2_registry_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    frame = table(spark, sf_dir, "orders").select(
-        k.alias("k"), (k % 7 != 0).alias("has_key"), F.when(c % 4 == 0, "").otherwise("n").alias("name"), F.when(k % 2 == 0, "p").otherwise("").alias("place"), F.when(k % 3 == 0, "d").otherwise("").alias("domain"),
-        F.lit("").alias("phone"), F.lit("").alias("address"), (k % 5 % 3).alias("n_place"), (k % 11 == 0).alias("place_conflict"), (k % 13 == 0).alias("place_new_evidence"), (c % 3).alias("n_name_support"), (c % 2).alias("n_name_both"),
-        (c % 5 % 3).alias("n_name_domain"), (k % 17 % 2).alias("n_partial"), (k % 19 % 2).alias("n_history"),
-    )
-    return R.registry_decision(frame).select("k", "classification")
-
-
 @query()
 def e4_known_or_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.known_or_new(_identities(spark, sf_dir), "row_idx", ["place", "domain", "name"])

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids
 from ..functions import places as P
 from ..functions import rules as R
 from ..functions import text as T
@@ -139,19 +138,6 @@ def w13_stable_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads(spark, sf_dir).groupBy("title", "place").agg(F.min("row_idx").alias("row_idx")).orderBy("place", "title", "row_idx")
 
 
-_add("f17_query_role", "customer", "c_custkey", "dimensions", ("junior python developer france", "graduate engineer", "site:jobs.lever.co internship laravel", "gardener"), ("JUNIOR|Python", "ENTRY_LEVEL|", "INTERNSHIP|Laravel", "UNSPECIFIED|"), lambda q: F.concat(F.when(R.found(q, r"\bintern(?:ship)?\b"), "INTERNSHIP").when(R.found(q, r"\bentry[ -]?level\b|\bgraduate\b"), "ENTRY_LEVEL").when(R.found(q, r"\bjunior\b|\bjr\.?\b"), "JUNIOR").otherwise("UNSPECIFIED"), F.lit("|"), F.array_join(R.technologies(q), ",")))
-_add("f3_company_identity", "customer", "c_custkey", "identity", ("Société Générale S.A.", "ACME Tools, Ltd.", "Müller GmbH", ""), ("societegenerale", "acmetools", "muller", ""), lambda n: F.regexp_replace(F.regexp_replace(F.regexp_replace(P.folded(F.regexp_replace(n, r"\.", "")), r"( (?:sa|ltd|llc|inc|gmbh|sarl|sas))+$", ""), "^(?:sa|ltd|llc|inc|gmbh|sarl|sas)$", ""), " ", ""))
-_add("f21_email_verdict", "customer", "c_custkey", "verdict", ("info@acme.test", "john.smith@acme.test", "user@example.com", "n/a", "x@y"), ("ACCEPT", "REVIEW", "REJECT", "REJECT", "REJECT"), lambda e: F.when(~T.valid_email(T.clean(e)), "REJECT").when(F.rlike(e, F.lit("(?i)^(?:info|contact|hello|jobs|careers|hr|support|sales|commercial|recruitment|recruiting)@")), "ACCEPT").otherwise("REVIEW"))
-_add("f25_address_country", "customer", "c_custkey", "country", ("1 Rue X, 75001 Paris, France", "Avenue Y, Sfax, Tunisie", "nowhere", "Malta, Sliema"), ("France", "Tunisia", "", "Malta"), lambda a: F.coalesce(F.get(F.filter(F.transform(F.reverse(F.split(a, ",")), P.lead_country), lambda c: c != ""), F.lit(0)), F.lit("")))
-_add("f31_time_with_offset", "customer", "c_custkey", "usable", ("2026-01-02T03:04:05Z", "2026-01-02T03:04:05", "2026-01-02T03:04:05+01:00", "yesterday"), (True, False, True, False), lambda v: T.has_offset(v) & F.try_to_timestamp(v).isNotNull())
-_add("f33_safe_title", "customer", "c_custkey", "safe", ("Python Developer", "Cookie policy", "Careers", "Senior Engineer"), (True, False, False, True), lambda t: ~R.found(t, r"\b(?:cookies?|privacy|policy|terms|login|sign in)\b") & ~F.lower(t).isin("careers", "jobs", "home", "vacancies"))
-_add("f34_title_from_url", "customer", "c_custkey", "title", ("https://a.test/jobs/senior-python-developer-123", "https://a.test/jobs/42", "https://a.test/"), ("Senior Python Developer", "", ""), lambda u: F.initcap(F.replace(F.regexp_extract(u, r"/([a-z]+(?:-[a-z]+)+)(?:-\d+)?/?$", 1), F.lit("-"), F.lit(" "))))
-_add("f44_company_domain", "customer", "c_custkey", "domain", ("a@acme.test; b@acme.test", "a@gmail.com", "a@acme.test; b@other.test", ""), ("acme.test", "", "", ""), lambda v: F.transform(F.array(F.array_distinct(F.filter(F.transform(T.emails(v), lambda e: F.lower(F.regexp_extract(e, "@(.*)$", 1))), lambda d: ~d.isin("gmail.com", "outlook.com", "hotmail.com", "yahoo.com")))), lambda d: F.when(F.size(d) == 1, F.get(d, F.lit(0))).otherwise(""))[0])
-_add("f45_google_host", "customer", "c_custkey", "google", ("https://www.google.fr/x", "https://maps.google.com", "https://notgoogle.com"), (True, True, False), lambda u: F.rlike(T.host(u), F.lit(r"(^|\.)google\.[a-z.]+$")))
-_add("e11_result_evidence", "customer", "c_custkey", "accepted", ("info@acme.test|https://www.acme.test/contact", "info@other.test|https://acme.test/x", "info@acme.test|https://other.test"), (True, False, False), lambda v: T.email_status(F.regexp_extract(v, r"^([^|]*)\|", 1), T.domain(F.regexp_extract(v, r"\|(.*)$", 1))) == "MATCH")
-_add("r14_person_role", "customer", "c_custkey", "role", ("Technical Recruiter at Acme", "Former CTO", "Engineering Manager", "Gardener"), ("RECRUITER", "FORMER", "ENGINEERING_MANAGER", "OTHER"), lambda t: F.when(R.found(t, r"\b(?:former|ex)\b"), "FORMER").when(R.found(t, r"\brecruiter\b"), "RECRUITER").when(R.found(t, r"\bengineering manager\b"), "ENGINEERING_MANAGER").when(R.found(t, r"\b(?:cto|vp engineering)\b"), "TECH_LEADER").otherwise("OTHER"))
-_add("r8_location_eligibility", "customer", "c_custkey", "eligibility", ("Remote worldwide. Visa sponsorship available.", "US residents only.", "", "Remote within Europe."), ("KNOWN", "KNOWN", "UNKNOWN", "PARTIAL"), lambda t: F.when(R.found(t, r"\bworldwide\b|\bresidents? only\b"), "KNOWN").when(R.found(t, r"\bremote\b|\bsponsor"), "PARTIAL").otherwise("UNKNOWN"))
-_add("f39_config_hash", "nation", "n_nationkey", "same", ("a", "a", "b"), (True, True, False), lambda v: ids.content_hash(F.concat_ws("|", v, F.lit("v1"))) == ids.content_hash(F.lit("a|v1")))
 
 
 @query()
@@ -164,28 +150,6 @@ def e12_identity_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("rows"), F.count_distinct("group_id").alias("groups"), reason("bridge").alias("bridged"), reason("conflicting").alias("conflicting"), reason("ambiguous").alias("ambiguous"))
 
 
-@query("SELECT 'orders' AS name, 0 AS differing FROM region LIMIT 1")
-def e10_replay_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The resolver gives the same classes twice."""
-    from .lead_queries import e2_registry_resolver
-
-    once, again = e2_registry_resolver(spark, sf_dir), e2_registry_resolver(spark, sf_dir)
-    return once.exceptAll(again).agg(F.lit("orders").alias("name"), F.count("*").cast("int").alias("differing"))
-
-
-@query("""
-WITH p AS (SELECT p_partkey AS id, p_brand, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part), h AS (SELECT s_suppkey AS id FROM supplier)
-SELECT p.id, CASE WHEN h.id IS NOT NULL THEN 'REPLAYED' WHEN p_type = 'PROMO' THEN 'QUARANTINED' WHEN n = 1 THEN 'NEW' ELSE 'KNOWN' END AS decision FROM p LEFT JOIN h ON h.id = p.id
-""")
-def e3_historical_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded decisions are reused, rows without evidence are quarantined, the first of an identity is new."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type")
-    first = part.groupBy("p_brand", "p_type").agg(F.min("id").alias("first"))
-    recorded = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(True).alias("recorded"))
-    joined = part.join(first, ["p_brand", "p_type"]).join(recorded, "id", "left")
-    return joined.select("id", F.when(F.coalesce("recorded", F.lit(False)), "REPLAYED").when(F.col("p_type") == "PROMO", "QUARANTINED").when(F.col("id") == F.col("first"), "NEW").otherwise("KNOWN").alias("decision"))
-
-
 @query("SELECT user_id, max(sum_value) AS best FROM (SELECT user_id, event_type, CASE WHEN count(value) = count(*) THEN CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) END AS sum_value FROM events GROUP BY 1, 2) GROUP BY user_id")
 def a2_nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(A.available_sum(F.floor("value")).alias("s"))

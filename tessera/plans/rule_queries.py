@@ -10,13 +10,35 @@ from ..sources import html
 from ..sources.tables import table
 from .registry import query
 
-TITLES = ("Senior Software Engineer", "Junior Python Developer", "Product Owner", "Sales and Web Developer", "DevOps", "Gardener", "Graduate Data Analyst", "React Engineer")
-TEXTS = ("", "At least 2 years of experience with Python and SQL.", "5+ years experience required; remote worldwide.", "3 years of professional experience. Hybrid.", "No visa sponsorship. 4 years experience.", "Relocation is provided, Docker and Git. On-site.", "10 years experience preferred, Node.js")
+#: titles with what stands in them: target role, unwanted role, senior, junior, unwanted stack, word of such a stack
+TITLES = (
+    ("Senior Software Engineer", True, None, True, False, None, False), ("Junior Python Developer", True, None, False, True, None, False), ("Product Owner", False, "REJECT_ROLE_PRODUCT", False, False, None, False),
+    ("Sales and Web Developer", True, "REJECT_ROLE_SALES", False, False, None, False), ("DevOps", False, "REJECT_ROLE_DEVOPS", False, False, None, False), ("Gardener", False, None, False, False, None, False),
+    ("Graduate Data Analyst", False, "REJECT_ROLE_DATA", False, True, None, False), ("React Engineer", True, None, False, False, None, False), ("SAP Consultant", False, "REJECT_ROLE_CONSULTING", False, False, None, False),
+    ("SAP Developer", False, "REJECT_ROLE_SAP", False, False, None, False), ("Machine Learning Researcher", False, "REJECT_ROLE_NON_SOFTWARE", False, False, None, False), ("UX Designer", False, "REJECT_ROLE_DESIGN", False, False, None, False),
+    ("QA Lead", False, "REJECT_ROLE_QA", True, False, None, False), ("Site Reliability Engineer", False, "REJECT_ROLE_SRE", False, False, None, False), ("Network Engineer", False, "REJECT_ROLE_NETWORK", False, False, None, False),
+    ("IT Support", False, "REJECT_ROLE_IT_SUPPORT", False, False, None, False), ("Embedded Engineer C++", False, "REJECT_ROLE_EMBEDDED", False, False, "REJECT_STACK_EMBEDDED_CPP", True),
+    ("ServiceNow Developer", False, "REJECT_ROLE_SERVICENOW", False, False, "REJECT_STACK_SERVICENOW", True), ("Cybersecurity Analyst", False, "REJECT_ROLE_CYBERSECURITY", False, False, None, False),
+    ("System Administrator", False, "REJECT_ROLE_SYSADMIN", False, False, None, False), ("Android Developer", False, "REJECT_ROLE_MOBILE_ONLY", False, False, None, False),
+    ("Mainframe COBOL Programmer", True, None, False, False, "REJECT_STACK_MAINFRAME_COBOL", True), ("Salesforce Developer", False, None, False, False, "REJECT_STACK_SALESFORCE", True),
+    ("Unity Game Developer", False, None, False, False, "REJECT_STACK_UNITY", True), ("SAP ABAP Analyst", False, None, False, False, "REJECT_STACK_SAP_ABAP", True), ("Python Developer with Salesforce", True, None, False, False, None, True),
+    ("Développeuse Full Stack", True, None, False, False, None, False), ("Software Engineer I", True, None, False, True, None, False), ("Mainframe COBOL Analyst", False, None, False, False, "REJECT_STACK_MAINFRAME_COBOL", True),
+    ("SOC Analyst", False, "REJECT_ROLE_NON_SOFTWARE", False, False, None, False),
+)
+#: texts with the years asked for, the years preferred, and what else they say
+TEXTS = (
+    ("", None, None, ""), ("At least 2 years of experience with Python and SQL.", 2, None, ""), ("5+ years experience required; remote worldwide.", 5, None, "worldwide"),
+    ("3 years of professional experience. Hybrid.", 3, None, ""), ("No visa sponsorship. 4 years experience.", 4, None, "unsponsored"), ("Relocation is provided, Docker and Git. On-site.", None, None, "sponsors relocation"),
+    ("10 years experience preferred, Node.js", None, 10, ""), ("Expérience de trois ans minimum. US only.", 3, None, "us"), ("Vous justifiez d’environ 5 ans d’expérience professionnelle.", 5, None, ""),
+    ("Entre deux et quatre ans. Canada residents only.", 2, None, "canada"), ("Two to four years experience would be a plus; 6 years preferred.", None, 6, ""),
+    ("You must be authorized to work in the EU. Remote in Tunisia.", None, None, "authorised tunisia"), ("Remote within the EU; 1 an minimum.", 1, None, "europe"), ("Depuis 3 ans nous grandissons.", None, None, ""),
+    ("Open to candidates worldwide, this role is remote.", None, None, "worldwide"), ("Relocation is offered. 1 to 2 years experience", 1, None, "relocation"),
+)
 _PICK = lambda values, key: "CASE " + " ".join(f"WHEN {key} % {len(values)} = {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 JOBS = f"""
-SELECT o_orderkey AS job_id, {_PICK(TITLES, 'o_orderkey')} AS title, {_PICK(TEXTS, 'o_custkey')} AS description, '' AS location_text,
-  {_PICK(('France', 'Tunisia', 'United States', 'Poland', ''), '(o_orderkey + o_custkey)')} AS country, {_PICK(('EUROPE', 'TUNISIA', 'UNITED_STATES', 'EUROPE', 'UNKNOWN'), '(o_orderkey + o_custkey)')} AS region,
-  {_PICK(('', 'remote', ''), 'o_orderkey')} AS remote_policy, o_orderdate AS published_at, 'OPEN' AS status FROM {{orders}}
+SELECT o_orderkey AS job_id, {_PICK([t[0] for t in TITLES], 'o_orderkey')} AS title, {_PICK([t[0] for t in TEXTS], 'o_custkey')} AS description, '' AS location_text,
+  {_PICK(('France', 'Tunisia', 'United States', 'Poland', '', 'Canada'), '(o_orderkey + o_custkey)')} AS country, {_PICK(('EUROPE', 'TUNISIA', 'UNITED_STATES', 'EUROPE', 'UNKNOWN', 'OTHER'), '(o_orderkey + o_custkey)')} AS region,
+  {_PICK(('', 'remote', ''), 'o_orderkey')} AS remote_policy, o_orderdate AS published_at, 'OPEN' AS status, {_PICK(('MISMATCH', 'UNKNOWN', 'MATCH', *['NEUTRAL'] * 8), 'o_custkey')} AS query_state, o_orderkey % 97 = 0 AS listing FROM {{orders}}
 """
 NOW = "1998-06-01 00:00:00"
 JOBS_CTE = "jobs AS (" + JOBS.format(orders="orders") + ")"
@@ -26,16 +48,20 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(JOBS, orders=table(spark, sf_dir, "orders"))
 
 
-_OTHER = "CASE " + " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{c}'" for c, p in R.OTHER_ROLES.items()) + " END"
-_FACTS = f"""facts AS (SELECT *, regexp_matches(title, '(?i){R.TARGET_ROLE}') AS role, {_OTHER} AS other, regexp_matches(title, '(?i){R.SENIOR}') AS senior, regexp_matches(title, '(?i){R.JUNIOR}') AS junior,
- CASE WHEN description LIKE '%preferred%' THEN NULL ELSE try_cast(regexp_extract(description, '([0-9]+)[+]? years', 1) AS INT) END AS years, CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(published_at)) / 86400) AS BIGINT) AS days,
- description LIKE '%Relocation is provided%' AS sponsors, description LIKE '%No visa%' AND region <> 'TUNISIA' AS unauthorised, description LIKE '%remote worldwide%' AS worldwide,
- country IN ('France', 'Belgium', 'Switzerland', 'Ireland', 'United Kingdom', 'Canada') AS preferred FROM jobs)"""
-_HARD = """concat_ws(',', CASE WHEN unauthorised AND NOT sponsors THEN 'REJECT_WORK_AUTHORIZATION' END, CASE WHEN other IS NOT NULL AND NOT role THEN other END, CASE WHEN senior THEN 'REJECT_SENIORITY' END, CASE WHEN years >= 5 THEN 'REJECT_EXPERIENCE_5_PLUS' WHEN years = 4 THEN 'REJECT_EXPERIENCE_4_PLUS' END,
- CASE WHEN days > 60 THEN 'REJECT_STALE_JOB' END, CASE WHEN region = 'UNITED_STATES' AND NOT sponsors AND NOT worldwide THEN 'REJECT_LOCATION_US_ONLY' END)"""
-_REVIEW = """concat_ws(',', CASE WHEN other IS NOT NULL AND role THEN 'REVIEW_ROLE_MIXED' WHEN other IS NULL AND NOT role THEN 'REVIEW_ROLE_UNCLEAR' END, CASE WHEN years = 3 THEN 'REVIEW_EXPERIENCE_3_YEARS' END,
- CASE WHEN worldwide OR region = 'TUNISIA' THEN NULL WHEN preferred THEN 'REVIEW_LOCATION_PREFERRED_MARKET' WHEN region = 'EUROPE' THEN 'REVIEW_LOCATION_EUROPE' END, CASE WHEN description = '' THEN 'REVIEW_DESCRIPTION_MISSING' END, CASE WHEN days < 0 THEN 'REVIEW_INVALID_PUBLISHED_DATE' WHEN days > 30 AND days <= 60 THEN 'REVIEW_OLD_JOB' END)"""
-_PASS = """concat_ws(',', CASE WHEN junior AND NOT senior THEN 'PASS_JUNIOR_ROLE' END, CASE WHEN other IS NULL AND role THEN 'PASS_RELEVANT_ROLE' END, CASE WHEN years <= 2 THEN 'PASS_EXPERIENCE_0_2' END, CASE WHEN worldwide THEN 'PASS_REMOTE_WORLDWIDE' WHEN region = 'TUNISIA' THEN 'PASS_LOCATION_TUNISIA' END, CASE WHEN days BETWEEN 0 AND 14 THEN 'PASS_FRESH_JOB' END)"""
+_value = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool | int) else f"'{v}'"
+_table = lambda rows: ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows)
+_FACTS = f"""titles(title, role, other, senior, junior, stack, word) AS (VALUES {_table(TITLES)}), texts(description, years, optional, says) AS (VALUES {_table(TEXTS)}),
+said AS (SELECT *, contains(says, 'sponsors') AS sponsors, contains(says, 'unsponsored') AS unsponsored, contains(says, 'authorised') AS permit, contains(says, 'worldwide') AS worldwide, contains(says, 'europe') AS europe_said,
+ contains(says, 'relocation') AS relocation, contains(says, 'canada') AS canada, regexp_matches(says, '(^| )us( |$)') AS us_said, contains(says, 'tunisia') AS tunisia_said FROM texts),
+facts AS (SELECT jobs.*, role, other, senior, junior, stack, word, years, optional, sponsors, worldwide, relocation, region = 'TUNISIA' OR tunisia_said AS tunisia, region = 'EUROPE' OR europe_said AS europe, us_said OR region = 'UNITED_STATES' AS us, canada,
+ permit OR (unsponsored AND region <> 'TUNISIA') AS unauthorised, CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(published_at)) / 86400) AS BIGINT) AS days, country IN ('France', 'Belgium', 'Switzerland', 'Ireland', 'United Kingdom', 'Canada') AS preferred FROM jobs JOIN titles USING (title) JOIN said USING (description))"""
+_HARD = """concat_ws(',', CASE WHEN listing THEN 'GENERIC_JOB_LISTING_PAGE' END, CASE WHEN unauthorised AND NOT sponsors THEN 'REJECT_WORK_AUTHORIZATION' END, CASE WHEN NOT role THEN other END, CASE WHEN NOT role THEN stack END, CASE WHEN senior THEN 'REJECT_SENIORITY' END,
+ CASE WHEN years >= 5 THEN 'REJECT_EXPERIENCE_5_PLUS' WHEN years = 4 THEN 'REJECT_EXPERIENCE_4_PLUS' END, CASE WHEN days > 60 THEN 'REJECT_STALE_JOB' END,
+ CASE WHEN sponsors OR worldwide THEN NULL WHEN us THEN 'REJECT_LOCATION_US_ONLY' WHEN canada THEN 'REJECT_LOCATION_CANADA_ONLY' END, CASE WHEN query_state = 'MISMATCH' THEN 'REJECT_QUERY_LOCATION_MISMATCH' END)"""
+_REVIEW = """concat_ws(',', CASE WHEN query_state = 'UNKNOWN' THEN 'REVIEW_QUERY_LOCATION_UNKNOWN' END, CASE WHEN other IS NOT NULL AND role THEN 'REVIEW_ROLE_MIXED' WHEN other IS NULL AND NOT role THEN 'REVIEW_ROLE_UNCLEAR' END, CASE WHEN years = 3 THEN 'REVIEW_EXPERIENCE_3_YEARS' END,
+ CASE WHEN optional >= 4 THEN 'REVIEW_EXPERIENCE_PREFERRED' END, CASE WHEN worldwide OR tunisia THEN NULL WHEN preferred THEN 'REVIEW_LOCATION_PREFERRED_MARKET' WHEN europe THEN 'REVIEW_LOCATION_EUROPE' WHEN relocation THEN 'REVIEW_RELOCATION_POSSIBLE'
+ WHEN country = '' AND query_state <> 'UNKNOWN' THEN 'REVIEW_LOCATION_UNKNOWN' END, CASE WHEN role AND (word OR stack IS NOT NULL) THEN 'REVIEW_STACK_MIXED' END, CASE WHEN description = '' THEN 'REVIEW_DESCRIPTION_MISSING' END, CASE WHEN days < 0 THEN 'REVIEW_INVALID_PUBLISHED_DATE' WHEN days > 30 AND days <= 60 THEN 'REVIEW_OLD_JOB' END)"""
+_PASS = """concat_ws(',', CASE WHEN junior AND NOT senior THEN 'PASS_JUNIOR_ROLE' END, CASE WHEN other IS NULL AND role THEN 'PASS_RELEVANT_ROLE' END, CASE WHEN years <= 2 THEN 'PASS_EXPERIENCE_0_2' END, CASE WHEN worldwide THEN 'PASS_REMOTE_WORLDWIDE' WHEN tunisia THEN 'PASS_LOCATION_TUNISIA' END, CASE WHEN days BETWEEN 0 AND 14 THEN 'PASS_FRESH_JOB' END)"""
 _DECIDED = f"WITH {JOBS_CTE}, {_FACTS}, told AS (SELECT *, {_HARD} AS h, {_REVIEW} AS r, {_PASS} AS p FROM facts), decided AS (SELECT *, CASE WHEN h <> '' THEN 'REJECT' WHEN r <> '' THEN 'REVIEW' ELSE 'PASS' END AS decision, coalesce(nullif(concat_ws(',', nullif(h, ''), nullif(r, ''), nullif(p, '')), ''), 'PASS_NO_HARD_FILTER') AS reasons FROM told)"
 
 
@@ -61,11 +87,24 @@ def r2_review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.review_priority(rows).select("job_id", "priority")
 
 
-@query(f"""{_DECIDED} SELECT job_id, CASE WHEN decision = 'REJECT' OR job_id % 7 = 0 OR region = 'UNITED_STATES' THEN 'DISQUALIFIED' WHEN job_id % 7 = 1 OR job_id % 2 = 1 OR description = '' THEN 'REVIEW' ELSE 'QUALIFIED' END AS qualification FROM decided""")
+@query(f"""{_DECIDED}, x AS (SELECT *, CASE job_id % 7 WHEN 0 THEN 'INACTIVE' WHEN 1 THEN 'UNKNOWN' ELSE 'ACTIVE' END AS activity, CASE job_id % 5 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'UNKNOWN' ELSE 'CONFIRMED' END AS employer,
+ CASE job_id % 6 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'UNAVAILABLE' WHEN 2 THEN 'UNKNOWN' ELSE 'CONFIRMED' END AS way, region = 'TUNISIA' OR contains(p, 'PASS_LOCATION_TUNISIA') OR contains(p, 'PASS_REMOTE_WORLDWIDE') AS eligible, job_id % 8 <> 0 AS known FROM decided),
+y AS (SELECT *, listing OR query_state = 'MISMATCH' OR activity = 'INACTIVE' AS out FROM x)
+SELECT job_id, CASE WHEN out THEN 'DISQUALIFIED' WHEN activity = 'ACTIVE' AND employer = 'CONFIRMED' AND way = 'CONFIRMED' AND eligible AND known THEN 'QUALIFIED' ELSE 'REVIEW' END AS qualification,
+ concat_ws(',', CASE WHEN listing THEN 'DISQUALIFIED_LISTING_PAGE' END, CASE WHEN query_state = 'MISMATCH' THEN 'DISQUALIFIED_QUERY_MISMATCH' END, CASE activity WHEN 'INACTIVE' THEN 'DISQUALIFIED_POSTING_INACTIVE' WHEN 'ACTIVE' THEN 'QUALIFIED_ACTIVE_POSTING' ELSE 'REVIEW_ACTIVITY_UNKNOWN' END,
+  CASE WHEN contains(p, 'PASS_RELEVANT_ROLE') THEN 'QUALIFIED_ROLE_CONFIRMED' END, CASE employer WHEN 'CONFIRMED' THEN 'QUALIFIED_EMPLOYER_CONFIRMED' WHEN 'CONFLICT' THEN 'REVIEW_EMPLOYER_CONFLICT' ELSE 'REVIEW_EMPLOYER_UNKNOWN' END,
+  CASE way WHEN 'CONFIRMED' THEN 'QUALIFIED_APPLICATION_URL' WHEN 'CONFLICT' THEN 'REVIEW_APPLICATION_DESTINATION_CONFLICT' WHEN 'UNAVAILABLE' THEN 'REVIEW_APPLICATION_DESTINATION_UNAVAILABLE' ELSE 'REVIEW_APPLICATION_CHANNEL_UNKNOWN' END,
+  CASE WHEN country <> '' THEN 'QUALIFIED_LOCATION_CONFIRMED' END, CASE WHEN NOT eligible THEN 'REVIEW_LOCATION_ELIGIBILITY_UNKNOWN' END, CASE WHEN NOT known THEN 'REVIEW_SOURCE_RELATIONSHIP_UNKNOWN' END) AS reasons FROM y""")
 def r6_job_qualification(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("job_id")
-    rows = _decided(spark, sf_dir).select("job_id", F.col("status").alias("filter_status"), F.when(k % 7 == 0, "INACTIVE").when(k % 7 == 1, "UNKNOWN").otherwise("ACTIVE").alias("activity"), F.when(F.col("region") == "UNITED_STATES", "INELIGIBLE").otherwise("KNOWN").alias("location_status"), F.when(k % 2 == 1, "UNKNOWN").otherwise("CONFIRMED").alias("destination"), "description")
-    return R.qualification(rows).select("job_id", "qualification")
+    way = F.when(k % 6 == 0, "CONFLICT").when(k % 6 == 1, "UNAVAILABLE").when(k % 6 == 2, "UNKNOWN").otherwise("CONFIRMED")
+    rows = _decided(spark, sf_dir).select(
+        "job_id", F.col("reasons").alias("codes"), "listing", F.when(k % 7 == 0, "INACTIVE").when(k % 7 == 1, "UNKNOWN").otherwise("ACTIVE").alias("activity"),
+        F.when(k % 5 == 0, "CONFLICT").when(k % 5 == 1, "UNKNOWN").otherwise("CONFIRMED").alias("employer"), way.alias("application"), F.when(way == "CONFIRMED", "https://apply.test/x").otherwise("").alias("application_url"),
+        F.when(way == "CONFIRMED", "ATS").otherwise("UNKNOWN").alias("channel"), F.when(F.col("region") == "TUNISIA", "KNOWN").otherwise("PARTIAL").alias("location_status"), (F.col("country") != "").alias("has_location"),
+        F.when(k % 8 != 0, "DIRECT").otherwise("").alias("relationship"),
+    )
+    return R.qualification(rows).select("job_id", "qualification", F.array_join("qualification_reasons", ",").alias("reasons"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'UNKNOWN' WHEN o_orderkey % 5 = 0 OR o_orderstatus = 'F' THEN 'INACTIVE' WHEN o_orderstatus = 'O' THEN 'ACTIVE' ELSE 'UNKNOWN' END AS activity FROM orders")
@@ -120,7 +159,7 @@ def f16_query_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", R.query_class(text).alias("query_class"))
 
 
-@query(f"WITH {JOBS_CTE} SELECT job_id, CASE WHEN description LIKE '%preferred%' THEN NULL ELSE try_cast(regexp_extract(description, '([0-9]+)[+]? years', 1) AS INT) END AS years FROM jobs")
+@query(f"WITH {JOBS_CTE}, texts(description, years, optional, says) AS (VALUES {_table(TEXTS)}) SELECT job_id, years FROM jobs JOIN texts USING (description)")
 def f28_required_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("job_id", R.required_years(F.col("description")).alias("years"))
 

@@ -9,7 +9,7 @@ JOB = "title string, description string, location_text string, country string, r
 
 
 def decided(spark, **values):
-    row = {"title": "Software Engineer", "description": "Python.", "location_text": "", "country": "", "region": "UNKNOWN", "remote_policy": "", "published_at": None, "status": "OPEN"} | values
+    row = {"title": "Software Engineer", "description": "Python.", "location_text": "", "country": "Brazil", "region": "OTHER", "remote_policy": "", "published_at": None, "status": "OPEN"} | values
     df = spark.createDataFrame([tuple(row.values())], JOB)
     return R.hard_filter(df, F.lit("2026-01-31 00:00:00").cast("timestamp")).first()
 
@@ -27,13 +27,14 @@ def test_mixed_roles_are_reviewed(spark):
 
 
 def test_preferred_experience_does_not_reject(spark):
-    assert decided(spark, description="5 years experience preferred").status == "PASS"
+    r = decided(spark, description="5 years experience preferred")
+    assert (r.status, r.primary_reason) == ("REVIEW", "REVIEW_EXPERIENCE_PREFERRED")
     assert decided(spark, description="at least 3 years of professional experience").primary_reason == "REVIEW_EXPERIENCE_3_YEARS"
 
 
 def test_null_fields_are_blank(spark):
     r = decided(spark, title=None, description=None, location_text=None, country=None, remote_policy=None)
-    assert list(r.reasons) == ["REVIEW_ROLE_UNCLEAR", "REVIEW_DESCRIPTION_MISSING"]
+    assert list(r.reasons) == ["REVIEW_ROLE_UNCLEAR", "REVIEW_LOCATION_UNKNOWN", "REVIEW_DESCRIPTION_MISSING"]
 
 
 def test_strategy_unavailable_is_not_zero(spark):
