@@ -84,7 +84,7 @@ def s16_json_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(found.items())], "name string, value string")
 
 
-@query("SELECT n_name AS name, n_regionkey AS region, NULL::BIGINT AS size FROM nation UNION ALL SELECT r_name, NULL, length(r_name) FROM region")
+@query("SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region, NULL::BIGINT AS size FROM nation UNION ALL SELECT r_name, NULL, length(r_name) FROM region")
 def k1_append_evolving(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "evolving")
     sinks.append_evolving(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("region")), path)
@@ -224,7 +224,7 @@ def k26_result_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT 'nation' AS name, 25 AS added, 0 AS again UNION ALL SELECT 'customer', count(*), 0 FROM customer")
+@query("SELECT 'nation' AS name, 25::BIGINT AS added, 0::BIGINT AS again UNION ALL SELECT 'customer', count(*), 0 FROM customer")
 def k28_entity_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _path(spark, "entities")
     tables = {"nation": (table(spark, sf_dir, "nation"), ["n_nationkey"]), "customer": (table(spark, sf_dir, "customer"), ["c_custkey"])}
@@ -241,7 +241,7 @@ def k29_strategy_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/recommendations").withColumns({"new": F.lit(new), "again": F.lit(again)})
 
 
-@query("SELECT true AS verified, 25 AS rows, true AS same")
+@query("SELECT true AS verified, 25::BIGINT AS rows, true AS same")
 def k30_verified_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _database(spark, sf_dir)
     verified = sinks.snapshot(spark, path, f"{path}.backup")

@@ -12,26 +12,25 @@ from .registry import query
 
 
 @query("""
-WITH e AS (SELECT l_orderkey % 50 AS run, l_orderkey * 10 + l_linenumber AS seq, l_returnflag = 'A' AS commits FROM lineitem),
+WITH e AS (SELECT user_id AS run, event_id AS seq, event_type = 'purchase' AS commits FROM events),
 n AS (SELECT *, coalesce(sum(CASE WHEN commits THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
-SELECT run, seq, commits, before < 40 AS admitted FROM n
+SELECT run, seq, commits, before < 4 AS admitted FROM n
 """)
 def t1_run_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_returnflag") == "A").alias("commits"))
-    return L.accepted_within(items, "run", "seq", F.col("commits"), 40)
+    attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("commits"))
+    return L.accepted_within(attempts, "run", "seq", F.col("commits"), 4)
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT l_orderkey % 40 AS run, l_linenumber AS query, l_orderkey AS item, l_returnflag <> 'N' AS fresh FROM lineitem),
-s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY item * 10 + query) AS n FROM e),
-f AS (SELECT run, n, query, item, fresh, fresh AS admitted, CASE WHEN fresh THEN 1 ELSE 0 END AS used, map([query], [CASE WHEN fresh THEN 1 ELSE 0 END]) AS per FROM s WHERE n = 1
- UNION ALL SELECT s.run, s.n, s.query, s.item, s.fresh, s.fresh AND f.used < 25 AND coalesce(f.per[s.query], 0) < 6, f.used + CASE WHEN s.fresh AND f.used < 25 AND coalesce(f.per[s.query], 0) < 6 THEN 1 ELSE 0 END,
+WITH RECURSIVE s AS (SELECT user_id % 40 AS run, event_type AS query, event_id AS seq, value > 20 AS fresh, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS n FROM events),
+f AS (SELECT run, n, query, seq, fresh, fresh AS admitted, CASE WHEN fresh THEN 1 ELSE 0 END AS used, map([query], [CASE WHEN fresh THEN 1 ELSE 0 END]) AS per FROM s WHERE n = 1
+ UNION ALL SELECT s.run, s.n, s.query, s.seq, s.fresh, s.fresh AND f.used < 25 AND coalesce(f.per[s.query], 0) < 6, f.used + CASE WHEN s.fresh AND f.used < 25 AND coalesce(f.per[s.query], 0) < 6 THEN 1 ELSE 0 END,
   map_concat(f.per, map([s.query], [coalesce(f.per[s.query], 0) + CASE WHEN s.fresh AND f.used < 25 AND coalesce(f.per[s.query], 0) < 6 THEN 1 ELSE 0 END])) FROM f JOIN s ON s.run = f.run AND s.n = f.n + 1)
-SELECT run, query, item * 10 + query AS seq, CASE WHEN fresh THEN admitted END AS admitted FROM f
+SELECT run, query, seq, CASE WHEN fresh THEN admitted END AS admitted FROM f
 """)
 def t2_query_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL folds item by item."""
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("run"), F.col("l_linenumber").alias("query"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_returnflag") != "N").alias("fresh"))
+    items = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("run"), F.col("event_type").alias("query"), F.col("event_id").alias("seq"), (F.col("value") > 20).alias("fresh"))
     return L.admitted_new(items, "run", "query", "seq", F.col("fresh"), 25, 6).drop("fresh")
 
 
@@ -129,12 +128,11 @@ def t9_page_exhaustion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT l_orderkey % 30 AS run, l_partkey AS id, l_linenumber AS query, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)
+WITH s AS (SELECT user_id % 30 AS run, CAST(floor(value) AS BIGINT) AS id, event_type AS query, event_id AS seq FROM events)
 SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'NEW' ELSE 'KNOWN' END AS membership, first_value(query) OVER w AS primary_query FROM s WINDOW w AS (PARTITION BY run, id ORDER BY seq, query)
 """)
 def t10_run_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
-    sightings = items.select((F.col("l_orderkey") % 30).alias("run"), F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("query"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    sightings = table(spark, sf_dir, "events").select((F.col("user_id") % 30).alias("run"), F.floor("value").alias("id"), F.col("event_type").alias("query"), F.col("event_id").alias("seq"))
     return L.membership(sightings, "run", "id", "query", "seq")
 
 

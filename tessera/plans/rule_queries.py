@@ -75,7 +75,7 @@ def r1_hard_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_DECIDED}, v AS (SELECT *, string_split(r, ',') AS codes, CASE job_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 0 END AS strength, (CASE WHEN job_id % 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN country = '' THEN 1 ELSE 0 END) + (CASE WHEN description = '' THEN 1 ELSE 0 END) AS missing FROM decided WHERE decision = 'REVIEW')
-SELECT job_id, CASE WHEN contains(p, 'PASS_RELEVANT_ROLE') AND len(codes) = 1 AND codes[1] IN ('REVIEW_EXPERIENCE_3_YEARS', 'REVIEW_LOCATION_PREFERRED_MARKET', 'REVIEW_LOCATION_EUROPE') AND country <> '' AND length(description) >= 30 AND strength >= 3 THEN 'HIGH'
+SELECT job_id, CASE WHEN contains(p, 'PASS_RELEVANT_ROLE') AND len(codes) = 1 AND codes[1] IN ('REVIEW_EXPERIENCE_3_YEARS', 'REVIEW_EXPERIENCE_PREFERRED', 'REVIEW_LOCATION_PREFERRED_MARKET', 'REVIEW_LOCATION_EUROPE', 'REVIEW_RELOCATION_POSSIBLE') AND country <> '' AND length(description) >= 30 AND strength >= 3 THEN 'HIGH'
  WHEN contains(r, 'REVIEW_ROLE_UNCLEAR') OR NOT contains(p, 'PASS_RELEVANT_ROLE') OR len(codes) >= 3 OR (missing >= 3 AND strength = 0) THEN 'LOW' ELSE 'MEDIUM' END AS priority FROM v""")
 def r2_review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("job_id")
@@ -169,7 +169,7 @@ def f29_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("job_id", F.array_join(R.technologies(F.concat_ws(" ", "title", "description")), ",").alias("technologies"))
 
 
-@query(f"WITH {JOBS_CTE} SELECT job_id, CASE WHEN remote_policy <> '' THEN 'REMOTE' WHEN description LIKE '%Hybrid%' THEN 'HYBRID' WHEN description LIKE '%remote%' THEN 'REMOTE' WHEN description LIKE '%On-site%' THEN 'ONSITE' ELSE 'UNKNOWN' END AS policy FROM jobs")
+@query(f"WITH {JOBS_CTE} SELECT job_id, CASE WHEN remote_policy <> '' THEN 'REMOTE' WHEN description ILIKE '%hybrid%' THEN 'HYBRID' WHEN description ILIKE '%remote%' THEN 'REMOTE' WHEN description ILIKE '%on-site%' THEN 'ONSITE' ELSE 'UNKNOWN' END AS policy FROM jobs")
 def f30_remote_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("job_id", R.remote_policy(F.col("remote_policy"), F.concat_ws(" ", "title", "description")).alias("policy"))
 
