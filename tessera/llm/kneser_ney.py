@@ -6,7 +6,7 @@ orders 1 and 2 are shared by shards: 65,536 numbers at most, which are broadcast
 
 1. Counts: each scan partition sends the distinct grams of its trusted texts with their counts, in blobs of sorted differences; shards add them, count
    continuations for the lower orders, and say how many grams have counts 1 to 4 (for the discounts).
-2. Blocks: all texts are written once, a few dozen megabytes in a row, in buckets by block.
+2. Blocks: all texts are written once, a few megabytes in a row, in buckets by block.
 3. Count joins: each block sends its distinct grams to the shards, where they are joined with the tables of all orders; the logarithms of their probabilities
    come back to the block, in the order in which the grams were sent.
 4. Each document's perplexity is the sum over its grams. Per language, the threshold is a high quantile of the trusted texts' perplexity, from counts per
@@ -33,7 +33,7 @@ MIN_DOCS = 100
 BROADCAST_IDS = 2_000_000
 BATCH_BYTES = 2 << 20
 #: bytes of text in a block and documents in a batch of it, whose numbers take the bits that a gram leaves
-BLOCK_BYTES, DOCS = 32 << 20, 1 << 16
+BLOCK_BYTES, DOCS = 8 << 20, 1 << 16
 MERGE = 3_000_000
 _COUNTS = "shard int, kind int, gram bigint, n bigint, data binary"
 

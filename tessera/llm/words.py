@@ -42,8 +42,43 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers
 
 
+#: bytes that are looked at together: a text of any length takes some 40 bytes for each of these, and 32 for each of its words
+PIECE = 1 << 20
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of all rows, in order: hash, row, first byte, byte after the last (in data). Case of ASCII letters is ignored."""
+    if len(data) <= PIECE:
+        return _word_hashes(data, bounds, table)
+    inside, parts, at = table != 0, [], 0
+    while at < len(data):
+        upto = min(at + PIECE, len(data))
+        gaps = np.flatnonzero(~inside[data[at:upto]]) if upto < len(data) else None
+        if gaps is None or len(gaps):
+            upto = upto if gaps is None else at + int(gaps[-1]) + 1
+            hashes, _, starts, ends = _word_hashes(data[at:upto], np.clip(bounds, at, upto) - at, table)
+            parts.append((hashes, starts + at, ends + at))
+        else:  # one word, or several without a gap between their rows
+            upto = next((a + int(g[0]) for a in range(upto, len(data), PIECE) if len(g := np.flatnonzero(~inside[data[a : a + PIECE]]))), len(data))
+            cuts = np.unique(np.concatenate([[at, upto], bounds[(bounds > at) & (bounds < upto)]]))
+            own = [_long_word(data[a:b], table) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            parts.append((np.array(own, np.uint64), cuts[:-1], cuts[1:]))
+        at = upto
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, np.searchsorted(bounds, starts, "right") - 1, starts, ends
+
+
+def _long_word(data: np.ndarray, table: np.ndarray) -> np.uint64:
+    total = 0
+    for at in range(0, len(data), PIECE):
+        piece = table[data[at : at + PIECE]]
+        with np.errstate(over="ignore"):
+            part = int((piece * _powers_to(len(piece))[: len(piece)]).sum(dtype=np.uint64))
+        total += part * pow(int(_BASE), at, 1 << 64)
+    return mix(np.array([(total + len(data) * int(_ODD)) % (1 << 64)], np.uint64))[0]
+
+
+def _word_hashes(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     values = table[data]
     inside = values != 0
     opens = inside.copy()

@@ -332,3 +332,40 @@ def test_block_max_index_is_exact():
         every = dense[:, t] @ w if len(t) else np.zeros(150)
         assert np.allclose(got[q], np.sort(every)[::-1][:10])
         assert np.allclose(every[who[q]], got[q])
+
+
+def test_votes_against_brute_force(spark):
+    rng = random.Random(31)
+    idf = np.array([1 + rng.random() for _ in range(40)])
+    text = lambda: sorted(rng.sample(range(40), rng.randint(0, 9)))
+    rows = [(i, 1000 + i % 130, t := text(), [rng.randint(1, 4) for _ in t]) for i in range(150)]
+    examples = [(i, key, rng.random(), terms, counts) for i, key, terms, counts in rows[:110] if terms]
+    table = spark.createDataFrame([(i, key, t, c) for i, key, t, c in rows], "doc_id bigint, text_key bigint, terms array<int>, counts array<int>")
+    index = toxicity.build_index([(t, c) for *_, t, c in examples], idf)
+    found = {r.doc_id: r for r in toxicity.votes(table, index, idf, [e[:3] for e in examples], nearest=7).collect()}
+
+    def vector(terms, counts):
+        v = np.zeros(40)
+        v[terms] = (1 + np.log(counts)) * idf[terms] if terms else []
+        return v / (np.linalg.norm(v) or 1)
+
+    k = min(max(len(examples) // 20, 5), 7)
+    for i, key, terms, counts in rows:
+        near = sorted(((float(vector(terms, counts) @ vector(t, c)), share, j) for j, own, share, t, c in examples if own != key), reverse=True)[:k]
+        weight = sum(c for c, *_ in near)
+        assert (found[i].vote is None) == (weight == 0)
+        if weight:
+            assert found[i].vote == pytest.approx(sum(c * s for c, s, _ in near) / weight)
+
+
+def test_the_curve_is_the_most_likely_one():
+    rng = np.random.default_rng(8)
+    values = (np.arange(40) + 0.5) / 40
+    toxic, clean = rng.integers(0, 30, 40) * values, rng.integers(1, 60, 40) * (1 - values)
+    a, b = toxicity.fit_curve(values, toxic, clean)
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a + b * values)))
+        return -(toxic * np.log(p) + clean * np.log(1 - p)).sum() + 0.0005 * b * b
+
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-6 for da in (-0.05, 0, 0.05) for db in (-0.2, 0, 0.2))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, fingerprints, kneser_ney, licenses, quality_rules
+from tessera.llm import chat_format, fingerprints, kneser_ney, licenses, quality_rules, words
 from tessera.llm.queries import op5_chat_format
 from tessera.llm.shared import text_bytes
 from tessera.llm.words import word_hashes
@@ -31,6 +31,50 @@ def test_word_hashes_tell_words_apart():
     assert len(set(word_of.values())) == len(word_of)
 
 
+def test_words_are_the_same_in_pieces_of_any_size(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["a", "Bc", " ", "\n", "é", "!", "z" * 90, "9"], k=rng.randint(0, 40))) for _ in range(300)] + ["q" * 5000, "r" * 700, "", "s" * 300 + " t"]
+    data, bounds = text_bytes(pa.array(texts))
+    whole = word_hashes(data, bounds)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(words, "PIECE", size)
+        assert all((a == b).all() for a, b in zip(whole, word_hashes(data, bounds), strict=True))
+
+
+def quartile_digest(text):
+    """The digest of a text, byte by byte from the definition."""
+    counts = [0] * fingerprints.BUCKETS
+    for k, (i, j, last) in enumerate(fingerprints.SPACINGS):
+        for at in range(len(text) - last):
+            h = (text[at + i] * 0x9E3779B1 + text[at + j] * 0x85EBCA6B + text[at + last] * 0xC2B2AE35 + k * 0x27D4EB2F) % (1 << 32)
+            h = (h ^ h >> 15) * 0x2C1B3C6D % (1 << 32)
+            counts[(h ^ h >> 12) % fingerprints.BUCKETS] += 1
+    ranked = sorted(counts)
+    codes = [sum(c > ranked[q * fingerprints.BUCKETS // 4 - 1] for q in (1, 2, 3)) for c in counts]
+    return [min(255, int(8 * np.log2(1 + len(text)))), *codes]
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, rng.randint(0, 300))) for i in range(40)] + [(50, "é中😀" * 30), (51, None), (52, "aaaa"), (53, "x" * 3000)]
+    found = {r.doc_id: r for r in fingerprints.fingerprint_documents(frame(spark, rows).repartition(4)).collect()}
+    digests = {i: quartile_digest((t or "").encode()) for i, t in rows}
+
+    def written(d):
+        return f"{d[0]:02x}" + "".join(f"{d[i] << 6 | d[i + 1] << 4 | d[i + 2] << 2 | d[i + 3]:02x}" for i in range(1, len(d), 4))
+
+    def alike(a, b):
+        return 1 - (sum(abs(x - y) for x, y in zip(a[1:], b[1:], strict=True)) + min(fingerprints.LENGTH_MOST, fingerprints.LENGTH_WEIGHT * abs(a[0] - b[0]))) / fingerprints.MOST
+
+    for n, (i, text) in enumerate(rows):
+        after, following = rows[(n + 1) % len(rows)]
+        text, following = text or "", following or ""
+        edited = quartile_digest((text[: len(text) - len(text) // 4] + following[: len(text) // 4]).encode())
+        r = found[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (written(digests[i]), written(edited))
+        assert (r.near_edited, r.near_next) == pytest.approx((alike(digests[i], edited), alike(digests[i], digests[after])))
+
+
 def test_fingerprints_follow_each_other(spark):
     rows = [r for r in odd_rows() if r[0] is not None]
     found = [r.asDict() for r in fingerprints.fingerprint_documents(frame(spark, rows)).collect()]
@@ -297,3 +341,36 @@ def test_licenses(spark):
         if r.doc_id == 5:
             assert texts[5][r.start : r.end].startswith("This program is free software") and 0.8 <= r.containment < 1
     assert licenses.scan_documents(frame(spark, [])).count() == 0
+
+
+def test_licenses_against_brute_force(spark):
+    """Notices edited at random: whatever a run of a template's length contains to nine tenths is found, and what is found is contained in a run a little longer."""
+    rng = random.Random(12)
+    templates = {n: [t for t in texts if len(t.split()) >= 12] for n, texts in licenses.TEMPLATES.items()}
+    templates = {n: t for n, t in templates.items() if t}
+    shingles = lambda ws: [" ".join(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    plain = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    rows = []
+    for i in range(150):
+        notice = rng.choice(rng.choice(list(templates.values()))).split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            notice[rng.randrange(len(notice))] = rng.choice(["other", "words", "here"])
+        rows.append((i, " ".join([sentence(rng, rng.randint(0, 60)), *notice[: rng.choice([len(notice), len(notice), len(notice) * 3 // 4])], sentence(rng, rng.randint(0, 60))])))
+    found = {}
+    for r in licenses.scan_documents(frame(spark, rows).repartition(3), templates).collect():
+        found.setdefault((r.doc_id, r.license), []).append(r.containment)
+    must = 0
+    for i, text in rows:
+        own = shingles(plain(text))
+        for name, texts in templates.items():
+            best, loose = 0.0, 0.0
+            for t in texts:
+                wanted = set(shingles(plain(t)))
+                for size, wide in ((len(wanted), False), (len(wanted) + 2 * (len(wanted) // 8 + 1), True)):
+                    for at in range(max(1, len(own) - size + 1)):
+                        share = len(wanted & set(own[at : at + size])) / len(wanted)
+                        best, loose = (best, max(loose, share)) if wide else (max(best, share), loose)
+            must += best >= 0.9
+            assert best < 0.9 or (i, name) in found, (i, name, best)
+            assert (i, name) not in found or (loose >= 0.8 and max(found[i, name]) <= loose + 1e-9)
+    assert must >= 30
