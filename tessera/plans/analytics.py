@@ -463,10 +463,10 @@ def w11_contact_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumn("k", k).select("o_custkey", "o_orderkey", F.when(F.col("k") == 1, "PRIMARY").when(F.col("k") == 2, "BACKUP").otherwise("OTHER").alias("role"))
 
 
-@query()
+@query("SELECT c_custkey, c_name FROM customer ORDER BY md5('42|' || c_custkey), c_custkey LIMIT 100")
 def w12_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampling operator: the same 100 rows for a seed, whatever the partitions."""
-    return table(spark, sf_dir, "customer").orderBy(F.xxhash64(F.lit(42), "c_custkey"), "c_custkey").limit(100).select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").orderBy(F.md5(F.concat(F.lit("42|"), F.col("c_custkey").cast("string"))), "c_custkey").limit(100).select("c_custkey", "c_name")
 
 
 @query("SELECT n_name AS name, 0 AS source_rank, n_regionkey AS extra FROM nation UNION ALL SELECT r_name, 1, NULL FROM region")

@@ -306,7 +306,10 @@ def f38_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ids.content_hash(F.col("text")).alias("hash"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT c_custkey, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('company|' || c_name)) AS h FROM customer)
+SELECT c_custkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%02x', (('0x' || h[17:18])::INT & 63) | 128) || h[19:20] || '-' || h[21:32] AS id FROM d
+""")
 def f40_uuid5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", ids.uuid5(NAMESPACE, F.concat(F.lit("company|"), "c_name")).alias("id"))
 
@@ -359,12 +362,27 @@ def e1_greedy_lead_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.group_leads(_identities(spark, sf_dir))
 
 
-@query()
+_OWN = f"""own AS (SELECT row_idx, coalesce(place, '') AS place, {_HOST.format(_CLEAN('webpage'))} AS domain, lower({_CLEAN('title')}) AS name,
+ CASE row_idx % 4 WHEN 0 THEN 'site' || (row_idx % 350) || '.test' WHEN 1 THEN 'mail.test' ELSE '' END AS email FROM leads), ordered AS (SELECT *, row_number() OVER (ORDER BY row_idx) AS n FROM own)"""
+
+
+@query(f"""
+WITH RECURSIVE {LEADS_CTE}, {_OWN},
+k AS (SELECT n, row_idx, list_filter(['p' || place, 'd' || domain, 'n' || name], lambda x: length(x) > 1) AS keys FROM ordered),
+f AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS added, NULL::BIGINT AS row_idx, '' AS status
+ UNION ALL SELECT k.n, CASE WHEN len(k.keys) > 0 AND NOT list_contains(f.added, k.keys[1]) THEN list_concat(f.added, k.keys) ELSE f.added END, k.row_idx, CASE WHEN len(k.keys) = 0 THEN 'none' WHEN list_contains(f.added, k.keys[1]) THEN 'same_run' ELSE 'new' END FROM f JOIN k ON k.n = f.n + 1)
+SELECT row_idx, status FROM f WHERE n > 0
+""")
 def e4_known_or_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.known_or_new(_identities(spark, sf_dir), "row_idx", ["place", "domain", "name"])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {LEADS_CTE}, {_OWN}, k AS (SELECT n, row_idx, list_filter(['e' || email, 'd' || domain], lambda x: length(x) > 1) AS keys FROM ordered),
+f AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS taken, NULL::BIGINT AS row_idx, false AS kept
+ UNION ALL SELECT k.n, CASE WHEN NOT list_has_any(f.taken, k.keys) THEN list_concat(f.taken, k.keys) ELSE f.taken END, k.row_idx, NOT list_has_any(f.taken, k.keys) FROM f JOIN k ON k.n = f.n + 1)
+SELECT row_idx, kept FROM f WHERE n > 0
+""")
 def e5_sequential_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sequential_dedup(_identities(spark, sf_dir), "row_idx", ["email", "domain"])
 

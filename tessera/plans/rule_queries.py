@@ -184,7 +184,13 @@ def h4_page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.parse_pages(table(spark, sf_dir, "pages"))
 
 
-@query()
+_BARE = "|".join(rf"<{e}\b.*?</{e}\s*>" for e in ("script", "style", "noscript", "template"))
+
+
+@query(rf"""
+WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is){_BARE}|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages),
+c AS (SELECT *, regexp_replace(t[1:401], '\s+\S*$', '') AS cut FROM t) SELECT page_id, CASE WHEN length(t) <= 400 THEN t WHEN length(cut) > 400 THEN t[1:400] ELSE cut END AS description FROM c
+""")
 def h5_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A description of at most 400 characters, cut at a word, from the visible text."""
     from ..functions.text import trimmed
