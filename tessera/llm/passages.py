@@ -442,8 +442,9 @@ def stretches(docs: DataFrame, pairs: DataFrame, n_parts: int) -> DataFrame:
     """The passages within pairs of regions. An earlier document with many pairs is dealt to several tasks."""
     spark = docs.sparkSession
     pairs, pairs_path = written(pairs, "passage-pairs")
-    salts = pairs.groupBy("o_doc", "o_variant").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
-    salted = pairs.join(salts, ["o_doc", "o_variant"])
+    # only documents with more pairs than a task is to verify have salts: of the pairs a 256th at most
+    hot, hot_path = written(pairs.groupBy("o_doc", "o_variant").count().where(F.col("count") > PAIRS).select("o_doc", "o_variant", F.ceil(F.col("count") / PAIRS).cast("int").alias("_salts")), "passage-salts")
+    salted = pairs.join(small(hot), ["o_doc", "o_variant"], "left").withColumn("salts", F.coalesce("_salts", F.lit(1)))
     later = salted.select("doc", "variant", F.lit(1).alias("side"), "o_doc", "o_variant", "lo", "hi", "o_lo", "o_hi", F.expr("pmod(hash(doc, variant, lo), salts)").alias("salt"))
     earlier = salted.select("o_doc", "o_variant", "o_lo", "o_hi", "salts").distinct().select(F.col("o_doc").alias("doc"), F.col("o_variant").alias("variant"), F.lit(0).alias("side"), "o_doc", "o_variant", F.col("o_lo").alias("lo"), F.col("o_hi").alias("hi"), "o_lo", "o_hi", F.col("salts").alias("salt"))
     asks, asks_path = written(later.unionByName(earlier), "passage-asks")
@@ -454,12 +455,12 @@ def stretches(docs: DataFrame, pairs: DataFrame, n_parts: int) -> DataFrame:
     read = arrow_map(asked, _regions, _REGIONS)
     met = read.repartition(n_parts, "o_doc", "o_variant", "salt").sortWithinPartitions("o_doc", "o_variant", "salt", "side")
     found, _ = written(arrow_map(met, _verified, _FOUND).distinct(), "passages")
-    discard(spark, pairs_path, asks_path)
+    discard(spark, pairs_path, asks_path, hot_path)
     return found
 
 
 #: rows of regions asked for that are broadcast to the texts; more are joined by a shuffle
-BROADCAST_ASKS = 2_000_000
+BROADCAST_ASKS = 1_000_000
 
 
 def _whole(batches):
