@@ -48,7 +48,8 @@ def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, WORD_GAP, -1), lambda w: w != "")
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
-    grams = F.when(F.size("words") >= WINDOW, F.transform(F.expr(f"slice(words, 1, greatest(size(words) - {WINDOW - 1}, 0))"), lambda w, i: F.xxhash64(F.slice("words", i + 1, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    # hashes of windows of two, four and eight words, each from two of half its length
+    neighbours = lambda c, n: F.zip_with(F.expr(f"slice({c}, 1, greatest(size({c}) - {n}, 0))"), F.expr(f"slice({c}, {n + 1}, greatest(size({c}) - {n}, 0))"), lambda x, y: F.xxhash64(x, y))
     order = F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     again = F.filter(
         "ordered",
@@ -75,7 +76,10 @@ def measure(docs: DataFrame) -> DataFrame:
             count(r"[^!?]+").alias("n_marks"),
             F.size("lines").alias("n_lines"),
         )
-        .select(*own, "n_lines", grams.alias("grams"))
+        .select(*own, "n_lines", F.transform("words", lambda w: F.xxhash64(w)).alias("ones"))
+        .select(*own, "n_lines", neighbours("ones", 1).alias("twos"))
+        .select(*own, "n_lines", neighbours("twos", 2).alias("fours"))
+        .select(*own, "n_lines", neighbours("fours", 4).alias("grams"))
         .select(*own, "n_lines", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), order).alias("ordered"))
         .select(*own, "n_lines", F.when(F.col("ordered").isNotNull(), F.array_sort(F.transform(again, lambda x: x["i"]))).alias("places"))
         .select(*own, "n_lines", F.when(F.col("places").isNotNull(), covered).otherwise(0).cast("bigint").alias("n_repeat_words"))
