@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, shared_dir, slices, text_bytes, written
+from .shared import arrow_map, discard, shared_dir, slices, text_bytes, written
 
 ORDER = 5
 QUANTILE_PER_MILLE = 995
@@ -340,6 +340,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame, per_mille: int = QUANTIL
     found, blocks_name = perplexities(docs, counts, n_shards)
     scored, _ = written(found, "perplexity")
     spark.sql(f"DROP TABLE {blocks_name}")
+    discard(spark, f"{shared_dir(spark)}/tessera/{blocks_name}")
     limits, _ = written(thresholds(_trusted(scored, labels), per_mille, min_docs), "perplexity-thresholds")
     own = limits.where("level = 1").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own"))
     every = F.broadcast(limits.where("level = 0").select(F.col("threshold").alias("_all")))  # one row

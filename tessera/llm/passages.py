@@ -214,9 +214,12 @@ def _windows(batches, n_parts):
             base, end = firsts[row], firsts[row + 1]
             prior, following = np.maximum(c - CONTEXT, base), np.minimum(c + 1 + CONTEXT, end)
             start = np.clip(c - CONTEXT, base, end - TOKENS)
-            home = runs.of(start, start + TOKENS) + (c - start).astype(np.uint64) * _STEP
+            home = mix((runs.of(start, start + TOKENS) + (c - start).astype(np.uint64) * _STEP) ^ values[c])
+            # of one run of tokens that follows itself (a word or line said over and over) a window in every CONTEXT tokens
+            some = np.flatnonzero(_heads(home, row, (c - base) // CONTEXT))
+            c, row, base, home, left, right, prior, end, following = (x[some] for x in (c, row, base, home, left, right, prior, end, following))
             kept.append({
-                "key": values[c], "doc": doc_ids[row], "variant": variants[row], "c": (c - base).astype(np.int32), "home": mix(home ^ values[c]),
+                "key": values[c], "doc": doc_ids[row], "variant": variants[row], "c": (c - base).astype(np.int32), "home": home,
                 "prior": (runs.of(prior, c) >> np.uint64(32)).astype(np.uint32), "next": (runs.of(c + 1, following) >> np.uint64(32)).astype(np.uint32),
                 "before": np.minimum(c - left, REACH).astype(np.uint8), "after": np.minimum(right - c, REACH).astype(np.uint8), "k": np.full(len(c), k, np.uint8),
             })

@@ -202,6 +202,20 @@ def test_junk_links_between_two_good_ones_lose_nothing(junk):
     assert passages.regions(link) == [(9, 0, 2, 0, 70, 150, 1070, 1150)]
 
 
+def test_a_word_said_over_and_over(spark):
+    """Two texts of one word, and two of one line, at unlike lengths: all of the later one is a passage, and its windows are few."""
+    line = "one two three four five six seven"
+    rows = [(1, "w " * 3000), (2, "start " + "w " * 5000 + "end"), (3, f"{line}\n" * 400), (4, f"{line}\n" * 700), (5, "w " * 40)]
+    found = passages.near_duplicate_passages(frame(spark, rows).repartition(2)).collect()
+    for doc_id, words, chars in ((2, 5000, 10_000), (4, 4900, 700 * (len(line) + 1) - 1)):
+        own = [(r.start, r.end) for r in found if r.doc_id == doc_id]
+        inside = np.zeros(20 + 700 * 40, bool)
+        for a, b in own:
+            inside[a:b] = True
+        assert inside.sum() >= 0.98 * chars
+    assert {(r.doc_id, r.other_doc_id) for r in found} == {(2, 1), (4, 3)}
+
+
 def test_texts_of_one_doc_id_are_cut_at_their_own_passages(spark):
     rng = random.Random(23)
     fresh = iter(range(10**6))
