@@ -262,6 +262,61 @@ def resolve(observations: DataFrame, branches: DataFrame, companies: DataFrame,
     return registry_decision(registry_evidence(observations, branches, companies, history)).select("id", "classification", "action")
 
 
+def historical_import(rows: DataFrame, order: str) -> DataFrame:
+    """Rows (name, place, domain, phone, address: keys; recorded: the outcome on record, or null) imported in order into a registry that they build up.
+
+    A row with an outcome on record keeps it and adds nothing. Without a name, or without any other key, it is QUARANTINED. A known place is that place's branch;
+    a new one makes a branch. Without a place it is the branch that has its name together with its phone, address or domain; several are AMBIGUOUS, none makes a
+    branch. A new branch belongs to the company that has its name and domain, if one has. Rows add what they have to their branch. branch and company are the numbers of the rows that
+    made them. Rows that share no place, phone, address or domain, directly or through others, do not meet: these make the blocks.
+    """
+    fields = ["name", "place", "domain", "phone", "address", "recorded"]
+
+    def fold(frame):
+        has: list[dict[str, set]] = []  # of each branch
+        where: dict[tuple, set[int]] = {}  # branches by (kind, value)
+        owner: dict[tuple[str, str], set[int]] = {}  # companies by name and domain
+        made: list[tuple[int, int]] = []
+
+        def learn(b, row):
+            for kind in ("name", "place", "domain", "phone", "address"):
+                if row[kind]:
+                    has[b][kind].add(row[kind])
+                    where.setdefault((kind, row[kind]), set()).add(b)
+            if row["domain"]:
+                owner.setdefault((row["name"], row["domain"]), set()).add(made[b][1])
+
+        for number, *values in frame[[order, *fields]].itertuples(index=False):
+            row = {f: v if isinstance(v, str) else "" for f, v in zip(fields, values, strict=True)}
+            if row["recorded"]:
+                yield number, row["recorded"], "RECORDED", None, None
+                continue
+            others = [k for k in ("phone", "address", "domain") if row[k]]
+            if not row["name"] or not (others or row["place"]):
+                yield number, "QUARANTINED", "NO_NAME" if not row["name"] else "NO_EVIDENCE", None, None
+                continue
+            if row["place"]:
+                found, how = where.get(("place", row["place"]), set()), "PLACE"
+            else:
+                named = where.get(("name", row["name"]), set())
+                found, how = set().union(*(named & where.get((k, row[k]), set()) for k in others)), "SUPPORT"
+            companies = owner.get((row["name"], row["domain"]), set()) if row["domain"] else set()
+            if len(found) > 1 or not found and len(companies) > 1:
+                yield number, "AMBIGUOUS", "BRANCHES" if found else "COMPANIES", None, None
+                continue
+            if not found:
+                how = "CREATED"
+                has.append({k: set() for k in ("name", "place", "domain", "phone", "address")})
+                made.append((number, next(iter(companies), number)))
+                found = {len(has) - 1}
+            (b,) = found
+            learn(b, row)
+            yield number, "IMPORTED", how, *made[b]
+
+    blocked = with_blocks(rows.select(order, *fields), order, ["place", "phone", "address", "domain"])
+    return fold_blocks(blocked, order, fold, f"{order} bigint, outcome string, how string, branch bigint, company bigint")
+
+
 def completeness_merge(rows: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
     """Rows of a key ranked by how many values they fill (then order); each value is the first filled down that ranking."""
     filled = sum(F.when(F.coalesce(F.col(v), F.lit("")) != "", 1).otherwise(0) for v in values)

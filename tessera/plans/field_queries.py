@@ -304,6 +304,16 @@ def e3_historical_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorded.withColumn("replayed", F.lit(True)).unionByName(new.withColumn("replayed", F.lit(False)))
 
 
+@query()
+def e3_historical_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads imported in order into a registry that they build up; every thirteenth has a decision on record."""
+    own = leads(spark, sf_dir).select(
+        F.col("row_idx").cast("bigint").alias("row_idx"), T.registry_name_key(F.col("title")).alias("name"), "place", T.domain(F.col("webpage")).alias("domain"), T.phone_key(F.col("phone_number")).alias("phone"),
+        F.concat_ws(" ", T.address_key(F.col("address")), (F.col("row_idx") % 97).cast("string")).alias("address"), F.when(F.col("row_idx") % 13 == 0, "IMPORTED").alias("recorded"),
+    )
+    return E.historical_import(own, "row_idx")
+
+
 @query(f"WITH {_RESOLVED}, s(population) AS (VALUES ('history'), ('holdout')) SELECT population, split_part(r, '/', 1) AS classification, count(*) AS n, 0 AS unstable FROM d JOIN s ON population = 'history' OR id % 4 = 0 GROUP BY 1, 2")
 def e10_replay_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all observations and over a holdout; each once more in another order and dealt otherwise, and the classes that differ are counted."""

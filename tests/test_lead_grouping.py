@@ -80,3 +80,44 @@ def test_groups_against_the_rules(spark, seed):
     rows = [(i, value(40, "p"), value(30, "d"), value(20, "n"), value(25, ""), value(25, "e"), value(15, "")) for i in range(160)]
     df = spark.createDataFrame(rows, "row_idx bigint, " + ", ".join(f"{f} string" for f in FIELDS)).repartition(3)
     assert {r.row_idx: (r.group_id, r.review_reasons) for r in R.group_leads(df).collect()} == by_hand(rows)
+
+
+def imported(rows):
+    """E3 by looking at every branch for every row."""
+    branches, out = [], {}
+    for i, name, place, domain, phone, address, recorded in rows:
+        if recorded:
+            out[i] = (recorded, None, None)
+        elif not name or not (place or domain or phone or address):
+            out[i] = ("QUARANTINED", None, None)
+        else:
+            if place:
+                fit = [b for b in branches if place in b["place"]]
+            else:
+                fit = [b for b in branches if name in b["name"] and (phone and phone in b["phone"] or address and address in b["address"] or domain and domain in b["domain"])]
+            firms = {c for c, pairs in ((b["company"], b["pairs"]) for b in branches) if domain and (name, domain) in pairs}
+            if len(fit) > 1 or not fit and len(firms) > 1:
+                out[i] = ("AMBIGUOUS", None, None)
+                continue
+            if not fit:
+                fit = [{"first": i, "company": min(firms, default=i), "pairs": set()} | {k: set() for k in ("name", "place", "domain", "phone", "address")}]
+                branches += fit
+            b = fit[0]
+            for k, v in (("name", name), ("place", place), ("domain", domain), ("phone", phone), ("address", address)):
+                if v:
+                    b[k].add(v)
+            if domain:
+                b["pairs"].add((name, domain))
+            out[i] = ("IMPORTED", b["first"], b["company"])
+    return out
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_import_against_every_branch(spark, seed):
+    rng = random.Random(seed)
+    value = lambda n, hot: rng.choice(["", "", hot, str(rng.randrange(n)), str(rng.randrange(n)), None])
+    rows = [(i, value(9, "n"), value(60, ""), value(20, ""), value(40, ""), value(30, "a"), rng.choice([None] * 9 + ["AMBIGUOUS"])) for i in range(220)]
+    df = spark.createDataFrame(rows, "i bigint, name string, place string, domain string, phone string, address string, recorded string").repartition(3)
+    found = {r.i: (r.outcome, r.branch, r.company) for r in R.historical_import(df, "i").collect()}
+    assert found == imported([tuple(v or "" if k else v for k, v in enumerate(r)) for r in rows])
+    assert len({v[0] for v in found.values()}) == 3
