@@ -6,10 +6,10 @@ signature c. Only windows of ``TOKENS`` tokens or more matter (about 2 in every
 of that length, among which the tree is built.
 
 0. Equal texts are one document, that of their least doc_id; each other one has a single passage, its whole text.
-1. Windows meet by signature. A window is linked to the first document (by doc_id) that has its signature, to the first one that also has
-   the ``CONTEXT`` tokens after its minimum, the first with those before it, and the first with both. So earlier texts that are not alike enough do
-   not stand between two copies: what TOKENS tokens of two texts have in common has the tokens on one side of the minimum in common. Each scan
-   partition sends on the windows of one document only where several have a window in the same TOKENS tokens at the same place.
+1. Windows meet by signature. A window is linked to the first document (by doc_id) that has its signature, and to the first ones that also have the
+   ``CONTEXT`` or the ``NEAR`` tokens after its minimum, before it, or on both sides. So earlier texts that are not alike enough do not stand between two copies:
+   what TOKENS tokens of two texts have in common has CONTEXT tokens on one side of the minimum in common, and NEAR of them mostly even with an edit. Each
+   scan partition sends on the windows of one document only where several have a window in the same TOKENS tokens at the same place.
 2. Interval join: links of one pair of documents at about one distance, whose aligned windows overlap, are one candidate; at least
    ``NEEDED`` of the hashes must take part.
 3. Verification: the tokens of both candidate regions are read from the texts, and the passages are the stretches covered by runs of TOKENS
@@ -39,6 +39,8 @@ SIMILARITY = 0.8
 LEAST_SHARED = math.ceil(2 * TOKENS * SIMILARITY / (1 + SIMILARITY))
 #: a run of TOKENS tokens has so many on one side of any of its tokens
 CONTEXT = TOKENS // 2
+#: and so many on one side even with an edit in it
+NEAR = CONTEXT // 2
 SHIFT = 16
 MARGIN = 48
 ROUND = 32
@@ -53,7 +55,9 @@ PAIRS = 256
 _STEP = np.uint64(0xBF58476D1CE4E5B9)
 _ODD = 0xD1342543DE82EF95
 _BACK = pow(_ODD, -1, 1 << 64)
-_WINDOW = {"key": "u8", "doc": "i8", "variant": "i4", "c": "i4", "prior": "u4", "next": "u4", "before": "u1", "after": "u1", "k": "u1"}
+_WINDOW = {"key": "u8", "doc": "i8", "variant": "i4", "c": "i4", "prior": "u4", "next": "u4", "near_prior": "u4", "near_next": "u4", "before": "u1", "after": "u1", "k": "u1"}
+#: the first document of each of these classes of a signature's windows is linked to
+_CLASSES = ((), ("near_next",), ("near_prior",), ("near_prior", "near_next"), ("next",), ("prior",), ("prior", "next"))
 _LINK = {"doc": "i8", "o_doc": "i8", "variant": "i4", "o_variant": "i4", "c": "i4", "o_c": "i4", "before": "u1", "after": "u1", "k": "u1"}
 _BLOBS = "part int, kind int, n int, data binary"
 
@@ -212,15 +216,16 @@ def _windows(batches, n_parts):
             c, left, right = compact_windows(values, rows, firsts)
             row = rows[c]
             base, end = firsts[row], firsts[row + 1]
-            prior, following = np.maximum(c - CONTEXT, base), np.minimum(c + 1 + CONTEXT, end)
             start = np.clip(c - CONTEXT, base, end - TOKENS)
             home = mix((runs.of(start, start + TOKENS) + (c - start).astype(np.uint64) * _STEP) ^ values[c])
             # of one run of tokens that follows itself (a word or line said over and over) a window in every CONTEXT tokens
             some = np.flatnonzero(_heads(home, row, (c - base) // CONTEXT))
-            c, row, base, home, left, right, prior, end, following = (x[some] for x in (c, row, base, home, left, right, prior, end, following))
+            c, row, base, end, home, left, right = (x[some] for x in (c, row, base, end, home, left, right))
+            before = lambda n: (runs.of(np.maximum(c - n, base), c) >> np.uint64(32)).astype(np.uint32)  # noqa: B023, E731
+            after = lambda n: (runs.of(c + 1, np.minimum(c + 1 + n, end)) >> np.uint64(32)).astype(np.uint32)  # noqa: B023, E731
             kept.append({
                 "key": values[c], "doc": doc_ids[row], "variant": variants[row], "c": (c - base).astype(np.int32), "home": home,
-                "prior": (runs.of(prior, c) >> np.uint64(32)).astype(np.uint32), "next": (runs.of(c + 1, following) >> np.uint64(32)).astype(np.uint32),
+                "prior": before(CONTEXT), "next": after(CONTEXT), "near_prior": before(NEAR), "near_next": after(NEAR),
                 "before": np.minimum(c - left, REACH).astype(np.uint8), "after": np.minimum(right - c, REACH).astype(np.uint8), "k": np.full(len(c), k, np.uint8),
             })
             n += len(c)
@@ -232,7 +237,7 @@ def _windows(batches, n_parts):
 
 
 def meeting_links(w: dict) -> dict:
-    """Links of all windows to the first documents of their classes: those with the signature, and with the tokens after, before, and around it."""
+    """Links of all windows to the first documents of their classes: those with the signature, and with the tokens near it as well."""
     order = np.argsort(w["key"], kind="stable")
     first = _heads(w["key"][order])
     order = order[~(first & np.append(first[1:], True))]
@@ -248,7 +253,7 @@ def meeting_links(w: dict) -> dict:
         w, run = {n: v[met] for n, v in w.items()}, run[met]
     owners: list[np.ndarray] = []
     found = []
-    for columns in ((), ("next",), ("prior",), ("prior", "next")):
+    for columns in _CLASSES:
         order = np.lexsort((*(w[n] for n in columns), run)) if columns else np.arange(len(run))  # stable: by document and place in each class
         head = _heads(run[order], *(w[n][order] for n in columns))
         owner = np.empty(len(run), np.int64)

@@ -191,6 +191,28 @@ def test_near_copies_after_variants_that_are_not_alike_enough(spark):
     assert len(wanted) == 40 and missed <= 0.01 * sum(map(len, wanted.values()))
 
 
+def test_short_near_copies_after_many_variants(spark):
+    """Passages of 55 words with a word changed, after twenty variants with four words changed each."""
+    rng = random.Random(5)
+    fresh = iter(range(10**7))
+    new = lambda n: [f"s{next(fresh)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        text = new(55)
+        for j in range(20):
+            variant = text[:]
+            for at in (6, 18, 30, 42):
+                variant[at + rng.randint(-3, 3)] = new(1)[0]
+            rows.append((1000 * i + j, " ".join([*new(15), *variant, *new(15)])))
+        near = text[:]
+        near[rng.randrange(55)] = new(1)[0]
+        rows += [(1000 * i + 500, " ".join([*new(15), *text, *new(15)])), (1000 * i + 501, " ".join([*new(15), *near, *new(15)]))]
+    words = {d: t.split() for d, t in rows}
+    wanted = set().union(*(near_passages({d: words[d] for d in (1000 * i + 500, 1000 * i + 501)}) for i in range(60)))
+    found = {r.doc_id for r in passages.near_duplicate_passages(frame(spark, rows).repartition(4)).collect()}
+    assert len(wanted) == 60 and len(wanted & found) >= 59
+
+
 @pytest.mark.parametrize("junk", [0, 60, 70, 5000])
 def test_junk_links_between_two_good_ones_lose_nothing(junk):
     good = [(100, 1100, 0), (120, 1120, 1)]
