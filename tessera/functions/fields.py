@@ -146,9 +146,8 @@ def enrichment_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("enrichment_status", status)
 
 
-# States of outreach, and of responses.
+# States of outreach.
 SEND_STATUSES = ("PENDING", "FAILED", "SENT")
-RESPONSE_STATUSES = ("REPLIED", "BOUNCED", "UNSUBSCRIBED", "NO_RESPONSE")
 
 
 def outreach_history(history: DataFrame, marks: DataFrame) -> DataFrame:
