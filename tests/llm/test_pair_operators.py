@@ -5,7 +5,6 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from tessera.llm import passages, simhash, toxicity
 
