@@ -48,6 +48,8 @@ ROUND = 32
 REACH = 255
 BATCH_BYTES = 1 << 20
 FLUSH = 600_000
+#: windows of a part that are sorted together
+MEETING = 1_000_000
 #: bytes of text whose windows meet in one partition, and partitions at most
 PART_BYTES, MOST_PARTS = 24 << 20, 50_000
 #: pairs of one earlier document that one task verifies
@@ -275,9 +277,13 @@ def _meet(batches, n_parts):
         if through.num_rows:
             yield through
         windows += zip(batch.column("n").filter(pa.array(kind == 0)).to_pylist(), batch.column("data").filter(pa.array(kind == 0)).to_pylist(), strict=True)
-    links = meeting_links(_read(windows, _WINDOW))
-    if len(links["doc"]):
-        yield _dealt(links, 1, _LINK, _pair_part(links, n_parts))
+    w = _read(windows, _WINDOW)
+    rounds = len(w["key"]) // MEETING + 1
+    turn = (w["key"] >> np.uint64(32)) % np.uint64(rounds)
+    for i in range(rounds):  # all windows of a signature have one turn
+        links = meeting_links({n: v[turn == i] for n, v in w.items()})
+        if len(links["doc"]):
+            yield _dealt(links, 1, _LINK, _pair_part(links, n_parts))
 
 
 def regions(link: dict) -> list[tuple]:

@@ -237,6 +237,25 @@ def test_a_word_said_over_and_over(spark):
     assert {(r.doc_id, r.other_doc_id) for r in found} == {(2, 1), (4, 3)}
 
 
+def test_windows_meet_in_turns(monkeypatch):
+    rng = np.random.default_rng(7)
+    n = 4000
+    kinds = {"key": "u8", "prior": "u4", "next": "u4", "near_prior": "u4", "near_next": "u4"}
+    w = {c: rng.integers(0, 600 if c == "key" else 3, n).astype(t) for c, t in kinds.items()}
+    w["key"] = w["key"] * np.uint64(0x9E3779B97F4A7C15)
+    w |= {"doc": rng.integers(0, 50, n), "variant": np.zeros(n, "i4"), "c": rng.integers(0, 900, n).astype("i4"), "before": np.full(n, 9, "u1"), "after": np.full(n, 9, "u1"), "k": rng.integers(0, 6, n).astype("u1")}
+    batch = passages._dealt(w, 0, passages._WINDOW, np.zeros(n, np.int32))
+
+    def links():
+        blobs = [x for b in passages._meet([batch], 1) for x in zip(b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True)]
+        found = passages._read(blobs, passages._LINK)
+        return sorted(zip(*(found[c].tolist() for c in passages._LINK), strict=True))
+
+    whole = links()
+    monkeypatch.setattr(passages, "MEETING", 300)
+    assert links() == whole and len(whole) > 1000
+
+
 def test_texts_of_one_doc_id_are_cut_at_their_own_passages(spark):
     rng = random.Random(23)
     fresh = iter(range(10**6))
