@@ -3,8 +3,8 @@
 Fingerprints of 64 bits are eight positional bytes. Two that differ in at most four bits share at least four of them (the guaranteed
 minimum), thus all bytes of at least one of the 70 sets of four positions. The index therefore posts every distinct fingerprint under each
 set and its bytes; a posting list holds what shares four bytes, not one, and stays short on any input that is not itself of near
-copies. In a list the shared positional bytes of a pair are tallied, pairs under the minimum drop out, and the rest are verified
-by their differing bits. Lists of many near copies yield the edges of a spanning forest, not all pairs.
+copies. In a list the shared positional bytes of a pair are tallied and the rest is verified by the differing bits; as a list's members share the
+minimum by their key, the tally can reject none. Lists of many near copies yield the edges of a spanning forest, not all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ SEED = 42
 MOST_BITS = 4
 BYTES = 8
 BATCH_BYTES = 1 << 20
-TILE = 1024
 
 
 def fingerprints_of(texts: list[bytes]) -> np.ndarray:
@@ -81,45 +80,52 @@ def linked(a: np.ndarray, b: np.ndarray, most_bits: int = MOST_BITS) -> np.ndarr
 
 
 def forest(members: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int, int]]:
-    """Edges between linked members that connect whatever the links connect, in tiles. At most len(members) - 1."""
-    parent = np.arange(len(members))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    for i in range(0, len(members), TILE):
-        for j in range(i, len(members), TILE):
-            left, right = members[i : i + TILE], members[j : j + TILE]
-            near = np.bitwise_count(left[:, None] ^ right[None, :]) <= most_bits
-            if i == j:
-                near = np.triu(near, 1)
-            for x, row in zip(*(at.tolist() for at in np.nonzero(near)), strict=True):
-                a, b = root(i + x), root(j + row)
-                if a != b:
-                    parent[b] = a
-                    edges.append((i + x, j + row))
+    """Edges between linked members that connect whatever the links connect. At most len(members) - 1.
+
+    Each member is held once against those that nothing has reached yet, which become its branches.
+    """
+    edges, reached = [], []
+    left, values = np.arange(len(members)), members
+    while len(left):
+        if not reached:
+            reached.append(int(left[0]))
+            left, values = left[1:], values[1:]
+        i = reached.pop()
+        near = np.bitwise_count(values ^ members[i]) <= most_bits
+        if near.any():
+            found = left[near].tolist()
+            edges += [(i, j) for j in found]
+            reached += found
+            left, values = left[~near], values[~near]
     return edges
 
 
 def _lists_to_edges(batches, most_bits):
-    """Rows (place, shared, fp) sorted, in runs of equal place and shared."""
-    rest = None
+    """Rows (place, shared, fp) sorted, in runs of equal place and shared. The last run of a batch may go on in the next ones."""
+    key, parts = None, []
+
+    def whole():
+        fp = np.concatenate(parts)
+        return _edges(fp.view(np.uint64), np.zeros(1, np.int64), len(fp), most_bits)
+
     for batch in batches:
         place, shared, fp = (batch.column(c).to_numpy() for c in ("place", "shared", "fp"))
-        if rest is not None:
-            place, shared, fp = (np.concatenate(x) for x in zip(rest, (place, shared, fp), strict=True))
         if not len(fp):
             continue
         starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (shared[1:] != shared[:-1])]))
-        last = starts[-1]
-        yield _edges(fp[:last].view(np.uint64), starts[:-1], last, most_bits)
-        rest = place[last:], shared[last:], fp[last:]
-    if rest is not None and len(rest[2]):
-        yield _edges(rest[2].view(np.uint64), np.zeros(1, np.int64), len(rest[2]), most_bits)
+        if key == (place[0], shared[0]):
+            parts.append(fp[: starts[1]] if len(starts) > 1 else fp)
+            starts = starts[1:]
+            if not len(starts):
+                continue
+        if parts:
+            yield whole()
+        first, last = starts[0], starts[-1]
+        if first < last:
+            yield _edges(fp[first:last].view(np.uint64), starts[:-1] - first, last - first, most_bits)
+        key, parts = (place[last], shared[last]), [fp[last:]]
+    if parts:
+        yield whole()
 
 
 def _edges(fp, starts, end, most_bits):
