@@ -47,9 +47,9 @@ ROUND = 32
 #: how far a window counts on either side of its minimum: any run of TOKENS tokens has another minimum
 REACH = 255
 BATCH_BYTES = 1 << 20
-FLUSH = 600_000
+FLUSH = 300_000
 #: windows of a part that are sorted together
-MEETING = 1_000_000
+MEETING = 250_000
 #: bytes of text whose windows meet in one partition, and partitions at most
 PART_BYTES, MOST_PARTS = 24 << 20, 50_000
 #: pairs of one earlier document that one task verifies
