@@ -65,3 +65,22 @@ def test_pages(spark):
     assert found[2].job_title == found[3].job_title == "" and found[4].title_source == "HEADING" and found[5].title_source == "TITLE"
     text = df.where("page_id = 1").select(html.visible(F.col("html")).alias("t")).first().t
     assert "color" not in text and "JobPosting" not in text and "Head line" in text
+
+
+def test_filter_on_status_works_nothing_out_again(spark):
+    titles = ["Software Engineer", "Développeuse Full Stack", "Sales and Web Developer", "Gardener", "Programmeur", "Back-End Developers", "Unity Programmer", None]
+    texts = ["Remote anywhere.", "WORLDWIDE remote", "remote anywhere in the office", "3 years of professional experience", "Worldwide customers", None]
+    df = spark.createDataFrame([(t, d, "", c, "OTHER", "", None, "OPEN") for t in titles for d in texts for c in ("France", "")], JOB)
+    all_rows = R.hard_filter(df, F.lit("2026-01-31 00:00:00").cast("timestamp"))
+    patterns = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("(?iU)")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    assert 0 < patterns(all_rows.where("status = 'REVIEW'")) <= patterns(all_rows)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    key = lambda r: (r.title or "", r.description or "", r.country, r.status, tuple(r.reasons))
+    assert sorted(map(key, all_rows.where("status = 'REVIEW'").collect())) == sorted(key(r) for r in all_rows.collect() if r.status == "REVIEW")
+
+
+def test_one_role_is_as_good_as_the_list_of_roles(spark):
+    titles = ["Software Engineer", "Développeuse Full Stack", "DÉVELOPPEUR web", "Programmers", "Gardener", "", "Node.js engineer", "front-end UI developer"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string").select(F.size(R.relevant_roles(F.col("t"))).alias("n"), R.is_relevant(R.plain(F.col("t"))).alias("any"))
+    assert [r.n > 0 for r in df.collect()] == [r.any for r in df.collect()] == [True, True, True, True, False, False, True, True]
