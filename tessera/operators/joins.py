@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 
 def representative(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """Per key the row that is least by order; pre-aggregated, no sort."""
@@ -32,26 +34,38 @@ def fill_from(rows: DataFrame, value: str, lookups: list[tuple[str, DataFrame]])
     return rows.select(*[F.coalesce(F.nullif(F.col(value), F.lit("")), *[F.col(f"_fill{i}") for i in range(len(lookups))], F.lit("")).alias(value) if c == value else c for c in columns])
 
 
-def overlaps(members: DataFrame, group: str, member: str, least: int = 2, rate: float = 0.75) -> DataFrame:
+def overlaps(members: DataFrame, group: str, member: str, least: int = 2, rate: float = 0.75, whole: int = 64) -> DataFrame:
     """Pairs of groups a < b that share at least ``least`` members with a Jaccard similarity of ``rate`` or more.
 
-    Members are ordered by how few groups have them. Two groups of n and m members that are so similar share one of the first n - ceil(rate x n) + 1 (and
-    m - ceil(rate x m) + 1) of these, so only those are joined: a member of very many groups comes last in each and makes pairs only for groups that have
-    hardly any others. Sizes that cannot reach the rate are left out before the overlap is counted.
+    Members are ordered by how few groups have them. Of two groups of n and m members that are so similar, the first member in common is among the first
+    n - max(least, ceil(rate x n)) + 1 (and as many by m) of each, so only those are joined: a member of very many groups comes last in each and makes pairs
+    only for groups that have hardly any others. A row that is joined has the members of its group that follow, so the overlap is counted where two rows
+    meet, and no pair leaves the join that is not similar enough; where two groups meet again, at a later member, the count is less, and the greatest holds.
+
+    Groups of over ``whole`` members would send too much in that way. Their pairs are listed if sizes and places allow the rate, and counted from whole sets.
     """
-    pairs = members.select(group, member).where(F.col(group).isNotNull() & F.col(member).isNotNull()).distinct()
-    spread = pairs.groupBy(member).agg(F.count("*").alias("_f"))
-    sizes = pairs.groupBy(group).agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("_f", member))
-    ranked = pairs.join(spread, member).join(sizes, group).withColumn("_p", place)
-    first = ranked.where(F.col("_p") <= F.col("_n") - F.ceil(F.col("_n") * rate - 1e-9) + 1)
-    left = first.select(F.col(group).alias("a"), member, F.col("_n").alias("_na"))
-    right = first.select(F.col(group).alias("b"), member, F.col("_n").alias("_nb"))
-    fit = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= rate * F.greatest("_na", "_nb") - 1e-9)
-    candidates = left.join(right, member).where(fit).select("a", "b", "_na", "_nb").distinct()
-    of_a = candidates.join(pairs.select(F.col(group).alias("a"), member), "a")
-    shared = of_a.join(pairs.select(F.col(group).alias("b"), member), ["b", member]).groupBy("a", "b", "_na", "_nb").agg(F.count("*").alias("overlap"))
-    return shared.withColumn("rate", F.col("overlap") / (F.col("_na") + F.col("_nb") - F.col("overlap"))).where((F.col("overlap") >= least) & (F.col("rate") >= rate)).select("a", "b", "overlap", "rate")
+    pairs = members.select(F.col(group).alias("_g"), F.col(member).alias("_m")).where("_g is not null and _m is not null")
+    spread = pairs.groupBy("_m").agg(F.count("*").alias("_f"))
+    order = Window.partitionBy("_g").orderBy("_f", "_m")
+    size = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    behind = F.collect_list("_m").over(order.rowsBetween(1, whole - 1))
+    # rows that say the same are one only here, where a group is together: any count puts the members in an order
+    placed = pairs.join(spread, "_m").repartition("_g").distinct().select("_m", "_g", "_f", size.alias("_n"), F.row_number().over(order).alias("_p"), behind.alias("_rest"))
+    need = F.greatest(F.lit(max(least, 1)), F.ceil(F.col("_n") * rate - 1e-9))
+    # a member of one group alone meets nothing
+    first = placed.where((F.col("_f") > 1) & (F.col("_p") <= F.col("_n") - need + 1)).select("_m", "_g", "_n", (F.col("_n") - F.col("_p")).alias("_left"), F.when(F.col("_n") <= whole, F.col("_rest")).alias("_rest"))
+    side = lambda x: first.select("_m", F.col("_g").alias(x), *[F.col(c).alias(c + x) for c in ("_n", "_left", "_rest")])
+    similar = lambda n: (n >= least) & (n / (F.col("_na") + F.col("_nb") - n) >= rate)
+    large, shared = (F.col("_na") > whole) | (F.col("_nb") > whole), 1 + F.size(F.array_intersect("_resta", "_restb"))
+    met = side("a").join(side("b"), "_m").where((F.col("a") < F.col("b")) & similar(1 + F.least("_lefta", "_leftb")) & (large | similar(shared)))
+    found, _ = written(met.groupBy("a", "b", "_na", "_nb").agg(F.max(F.when(~large, shared)).alias("overlap")), "overlaps")
+    unsure = found.where("overlap is null").drop("overlap")
+    if not unsure.isEmpty():
+        ids = unsure.select(F.col("a").alias("_g")).union(unsure.select("b")).distinct()
+        sets = pairs.join(ids, "_g").groupBy("_g").agg(F.collect_set("_m").alias("_s"))
+        both = unsure.join(sets.toDF("a", "_sa"), "a").join(sets.toDF("b", "_sb"), "b")
+        found = found.where("overlap is not null").unionByName(both.select("a", "b", "_na", "_nb", F.size(F.array_intersect("_sa", "_sb")).alias("overlap")))
+    return found.where(similar(F.col("overlap"))).select("a", "b", F.col("overlap").cast("long").alias("overlap"), (F.col("overlap") / (F.col("_na") + F.col("_nb") - F.col("overlap"))).alias("rate"))
 
 
 def duplicate_severity(rows: DataFrame, key: str, state: str, identities: list[list[str]], grave: str) -> DataFrame:

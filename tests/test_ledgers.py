@@ -110,3 +110,25 @@ def test_precedence_match(spark):
     rows = spark.createDataFrame([(1, "p", "e"), (2, "", "d"), (3, "x", "e"), (4, None, "")], "i int, place string, domain string")
     found = {r.i: (r.matched_entity, r.matched_by, r.ambiguous) for r in J.precedence_match(rows, known, ["place", "domain"], "entity").collect()}
     assert found == {1: (1, "place", False), 2: (None, "domain", True), 3: (3, "domain", False), 4: (None, None, False)}
+
+
+def test_overlaps_of_large_groups_and_hot_members(spark):
+    """Groups below and above the size whose members travel with them, copies, rows given twice, and a member that all have."""
+    rng = random.Random(8)
+    groups = {g: {0} | {rng.randrange(1, 60) for _ in range(rng.choice([1, 2, 4, 9, 20, 40]))} for g in range(70)}
+    groups |= {100 + g: set(groups[g]) for g in range(0, 20)} | {200 + g: set(list(groups[g])[: len(groups[g]) // 2 + 1]) for g in range(30)}
+    rows = [(g, m) for g, own in groups.items() for m in own]
+    df = spark.createDataFrame(rows + rows[::3] + [(3, None), (None, 3)], "g int, m int")
+    for least, rate in ((1, 0.3), (2, 0.4), (3, 0.5), (2, 0.75), (1, 1.0)):
+        wanted = {(a, b): (len(x & y), len(x & y) / len(x | y)) for a, x in groups.items() for b, y in groups.items() if a < b and len(x & y) >= least and len(x & y) / len(x | y) >= rate}
+        for whole in (1, 5, 64):
+            assert {(r.a, r.b): (r.overlap, r.rate) for r in J.overlaps(df, "g", "m", least, rate, whole).collect()} == wanted
+
+
+def test_overlaps_counts_pairs_where_they_meet(spark, monkeypatch):
+    """Groups that share one member each leave the join of members as no pair at all."""
+    kept = []
+    monkeypatch.setattr(J, "written", lambda df, name: kept.append(df.count()) or (df, ""))
+    df = spark.createDataFrame([(g, m) for g in range(40) for m in (g % 4, 100 + g // 2, 1000 + g, 2000 + g)], "g int, m int")
+    assert J.overlaps(df, "g", "m", 2, 0.3).count() == 0
+    assert kept == [0]
