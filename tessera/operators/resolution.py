@@ -8,24 +8,37 @@ their keys, and only within a block is the order of the input replayed by a fold
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import discard, written
+from ..plans.storage import discard, small, written
 from .components import connected_components
+from .grouping import LeadGroups
 
 
 def with_blocks(rows: DataFrame, row: str, keys: list[str]) -> DataFrame:
-    """rows with block: the least row number that the keys' values lead to. Blank and null keys lead nowhere."""
+    """rows with block: the least row number that the keys' values lead to. Blank and null keys lead nowhere.
+
+    Rows with the same keys are one node of the components.
+    """
     base, _ = written(rows, "blocks")
+    blank = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("")) == ""
+    none = reduce(lambda a, b: a & b, map(blank, keys))
+    nodes, _ = written(base.where(~none).groupBy(*keys).agg(F.min(row).alias("_row")), "block-keys")
     pair = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys]))
-    postings = base.select(F.col(row).alias("_row"), pair.alias("_key")).where(F.coalesce(F.col("_key.value"), F.lit("")) != "")
+    postings = nodes.select("_row", pair.alias("_key")).where(F.coalesce(F.col("_key.value"), F.lit("")) != "")
     first = postings.groupBy("_key").agg(F.min("_row").alias("_first"))
     edges = postings.join(first, "_key").select(F.col("_row").alias("a"), F.col("_first").alias("b"))
     found = connected_components(edges)
-    return base.join(found, base[row] == found["node"], "left").withColumn("block", F.coalesce("component", F.col(row))).drop("node", "component")
+    blocks, _ = written(nodes.join(found, nodes["_row"] == found["node"], "left").select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("component", "_row").alias("block")), "block-nodes")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    met = base.where(~none).join(small(blocks, 200_000), same).select(*base.columns, "block")
+    return met.unionByName(base.where(none).withColumn("block", F.col(row)))
 
 
 def fold_blocks(rows: DataFrame, order: str, fold: Callable[[pd.DataFrame], Iterator[tuple]], schema: str) -> DataFrame:
@@ -100,86 +113,33 @@ def known_or_new(rows: DataFrame, order: str, ranked_kinds: list[str]) -> DataFr
     return status.select(F.col("row").alias(order), F.coalesce("status", F.when(known, "same_run").otherwise("new")).alias("status"))
 
 
-#: kinds of evidence by strength; what vetoes a match through each: (evidence that must not be disjoint, reason)
-RANK = {"maps": 0, "domain": 1, "name_phone": 2, "name_email": 3, "name": 4}
-PLACES, SITES = "conflicting maps identities", "conflicting strong identities"
-AREA, BRANCHES = "conflicting location evidence", "shared domain across distinct places"
-EVIDENCE = ("place", "domain", "name", "phone", "email", "address")
-
-
-def _apart(group: dict, row: dict, kind: str) -> bool:
-    return bool(group[kind]) and bool(row[kind]) and not group[kind] & row[kind]
-
-
-def vetoes(group: dict, row: dict, kind: str) -> set[str]:
-    """Reasons against joining a row to a group through a kind of match."""
-    apart = {e: _apart(group, row, e) for e in EVIDENCE}
-    if kind == "maps":
-        return set()
-    if kind == "domain":
-        if apart["place"]:
-            return {PLACES} | ({BRANCHES} if apart["phone"] or apart["address"] else set())
-        return {SITES} if apart["name"] and apart["phone"] else set()
-    found = {PLACES} if apart["place"] else set()
-    strong = ("domain",) if kind != "name" else ("domain", "phone", "email")
-    if any(apart[e] for e in strong):
-        found.add(SITES)
-    if kind == "name" and apart["address"]:
-        found.add(AREA)
-    return found
-
-
 def group_leads(rows: DataFrame) -> DataFrame:
     """row_idx, place, domain, name, phone, email (domain of a company address), address: the group of each row and the group's review reasons.
 
     A row joins the one compatible group of its strongest kind of match. Several such make a group of its own to review; links to more than one group are a
     bridge conflict on all of them. Name alone matches only where nothing else does. group_id is the row_idx of the group's first row.
     """
-
-    def fold(frame):
-        groups: list[dict] = []
-        index: dict[tuple, set[int]] = {}
-        placed = []
-        for values in frame[["row_idx", *EVIDENCE]].itertuples(index=False):
-            row = {e: {v} if isinstance(v, str) and v else set() for e, v in zip(EVIDENCE, values[1:], strict=True)}
-            keys = [("maps", v) for v in row["place"]] + [("domain", v) for v in row["domain"]]
-            keys += [("name_phone", (n, p)) for n in row["name"] for p in row["phone"]] + [("name_email", (n, e)) for n in row["name"] for e in row["email"]]
-            best: dict[int, str] = {}
-            for kind, value in keys:
-                for g in index.get((kind, value), ()):
-                    best[g] = min(best.get(g, kind), kind, key=RANK.get)
-            bridged, by_name = set(best), not best
-            if by_name:
-                best = {g: "name" for n in row["name"] for g in index.get(("name", n), ())}
-            against = {g: vetoes(groups[g], row, kind) for g, kind in best.items()}
-            open_to = sorted((RANK[best[g]], g) for g in best if not against[g])
-            tied = [g for r, g in open_to if r == open_to[0][0]]
-            unclear = set(tied) if len(tied) > 1 else set()
-            if by_name:
-                unclear |= {g for g in best if against[g]}
-            if len(tied) == 1:
-                own = tied[0]
-            else:
-                own = len(groups)
-                groups.append({e: set() for e in EVIDENCE} | {"first": values[0], "reasons": set()})
-            for g, reasons in against.items():
-                groups[g]["reasons"] |= reasons
-                groups[own]["reasons"] |= reasons
-            if len(bridged) > 1:
-                for g in bridged | {own}:
-                    groups[g]["reasons"].add("identity bridge conflict")
-            for g in unclear | ({own} if unclear else set()):
-                groups[g]["reasons"].add("ambiguous exact-name match")
-            for e in EVIDENCE:
-                groups[own][e] |= row[e]
-            for key in [*keys, *(("name", n) for n in row["name"])]:
-                index.setdefault(key, set()).add(own)
-            placed.append((values[0], own))
-        for row_idx, g in placed:
-            yield row_idx, groups[g]["first"], "; ".join(sorted(groups[g]["reasons"]))
-
-    blocked = with_blocks(rows.select("row_idx", *EVIDENCE), "row_idx", ["place", "domain", "name"])
-    return fold_blocks(blocked, "row_idx", fold, "row_idx bigint, group_id bigint, review_reasons string")
+    evidence = ("place", "domain", "name", "phone", "email", "address")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, groups = None, LeadGroups()
+        for batch in batches:
+            for block, number, *values in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if block != at:
+                    yield from out(groups)
+                    at, groups = block, LeadGroups()
+                groups.add(number, *(v or "" for v in values))
+        yield from out(groups)
+
+    def out(groups: LeadGroups) -> Iterator[pa.RecordBatch]:
+        for part in batched(groups.placed(), 10_000):
+            row, group, reasons = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(group, pa.int64()), pa.array(reasons, pa.string())], ["row_idx", "group_id", "review_reasons"])
+
+    blocked = with_blocks(rows.select("row_idx", *evidence), "row_idx", ["place", "domain", "name"])
+    # by ranges, so that large blocks are not dealt to one task by chance; rows stream through the fold and are never gathered
+    dealt = blocked.select("block", "row_idx", *evidence).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "row_idx")
+    return dealt.mapInArrow(fold, "row_idx bigint, group_id bigint, review_reasons string")
 
 
 def registry_decision(df: DataFrame) -> DataFrame:
