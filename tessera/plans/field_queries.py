@@ -292,15 +292,16 @@ d AS (SELECT id, CASE WHEN NOT has_key THEN 'QUARANTINED/QUARANTINE' WHEN n_plac
 @query(f"WITH {_RESOLVED} SELECT id, split_part(r, '/', 1) AS classification, split_part(r, '/', 2) AS action FROM d")
 def e2_registry_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against a registry table; the SQL asks it row by row."""
-    return E.resolve(*_registry(spark, sf_dir))
+    observed, *registry = _registry(spark, sf_dir)
+    return E.resolve(observed, E.registry_tables(*registry))
 
 
 @query(f"WITH {_RESOLVED}, f AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'REPLAYED/' || (id % 3) ELSE r END AS r FROM d) SELECT id, CASE WHEN id % 11 = 0 THEN 'RECORDED' ELSE split_part(r, '/', 1) END AS classification, id % 11 = 0 AS replayed FROM f")
 def e3_historical_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose decision is on record keep it, all others are resolved against the registry."""
-    observed, branches, companies, history = _registry(spark, sf_dir)
+    observed, *registry = _registry(spark, sf_dir)
     recorded = observed.where("id % 11 = 0").select("id", F.lit("RECORDED").alias("classification"))
-    new = E.resolve(observed.join(recorded.select("id"), "id", "left_anti"), branches, companies, history).select("id", "classification")
+    new = E.resolve(observed.join(recorded.select("id"), "id", "left_anti"), E.registry_tables(*registry)).select("id", "classification")
     return recorded.withColumn("replayed", F.lit(True)).unionByName(new.withColumn("replayed", F.lit(False)))
 
 
@@ -318,10 +319,11 @@ def e3_historical_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e10_replay_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all observations and over a holdout; each once more in another order and dealt otherwise, and the classes that differ are counted."""
     observed, branches, companies, history = _registry(spark, sf_dir)
+    tables, dealt = E.registry_tables(branches, companies, history), E.registry_tables(branches.repartition("kind", "branch"), companies, history)
     out = None
     for population, rows in (("history", observed), ("holdout", observed.where("id % 4 = 0"))):
-        once = E.resolve(rows, branches, companies, history).select("id", "classification")
-        again = E.resolve(rows.repartition(3, "phone").sortWithinPartitions(F.desc("id")), branches.repartition(2), companies, history).select("id", F.col("classification").alias("again"))
+        once = E.resolve(rows, tables).select("id", "classification")
+        again = E.resolve(rows.repartition("phone", "id").sortWithinPartitions(F.desc("id")), dealt).select("id", F.col("classification").alias("again"))
         counted = once.join(again, "id").groupBy("classification").agg(F.count("*").alias("n"), F.count_if(F.col("classification") != F.col("again")).cast("int").alias("unstable"))
         counted = counted.select(F.lit(population).alias("population"), "classification", "n", "unstable")
         out = counted if out is None else out.unionByName(counted)
